@@ -12,7 +12,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the network does not reject; it learns from the labelled documents of its input outside the held-out third."""
-    net = toxicity.fit(queries.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    net = toxicity.fit(docs, queries.training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return toxicity.with_score(docs.select(COLUMNS), net, predicted="rejected").where("rejected = 0").select(COLUMNS)
 
 

@@ -26,14 +26,13 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    net = toxicity.fit(training_rows(docs, labels))
+    net = toxicity.fit(docs, training_labels(labels))
     return toxicity.with_score(docs.select("doc_id", "text"), net).select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the labelled documents that are not held out."""
-    seen = labels.where(F.coalesce(fold(F.col("doc_id")) != 1, F.lit(True)) & F.col("toxic").isNotNull()).select("doc_id", "toxic").distinct()
-    return docs.where(F.coalesce(fold(F.col("doc_id")) != 1, F.lit(True))).select("doc_id", "text").join(seen, "doc_id").select("text", "toxic")
+def training_labels(labels: DataFrame) -> DataFrame:
+    """The labels of documents that are not held out."""
+    return labels.where(fold(F.col("doc_id")) != 1).select("doc_id", "toxic")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

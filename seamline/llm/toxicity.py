@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from seamline.llm.arrow import append
 from seamline.llm.decontaminate import words_of
+from seamline.llm.sample import bounded_sample
 
 #: Words of a window and from one window's start to the next; windows overlap by the difference.
 WINDOW, STRIDE = 32, 24
-#: Labelled rows the network is fitted on, the least by hash of their text, and words of one such text used (its first windows): the bound on what reaches the driver.
+#: Labelled rows the network is fitted on, chosen by hash of their id, and words of one such text used (its first windows): the bound on what reaches the driver.
 TRAIN_ROWS, TRAIN_WORDS = 4000, 4096
 #: Sizes: state of one direction, word and character parts of an input, words and leading character n-grams with an embedding of their own, bytes of the longest n-gram.
 HIDDEN, WORD_DIM, CHAR_DIM, VOCABULARY, GRAMS, LONGEST = 8, 8, 8, 4096, 1 << 14, 10
@@ -284,15 +285,20 @@ class Scorer:
         return _sigmoid(best).tolist()
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, steps: int = 900) -> Network:
-    """A network fitted on at most rows of labelled (0 or 1; others are left out), on the driver. Rows are chosen by the hash of their text, so the choice doesn't depend on partitions."""
-    use = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
-    pick = use.orderBy(F.xxhash64("text"), "label").limit(rows)
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, steps: int = 900) -> Network:
+    """A network fitted on the driver on the texts of at most rows labels (id, 0 or 1; others are left out), chosen by hash of their id.
+
+    The chosen labels, a bounded table, are sent to the tasks, so texts without one are read and not moved. Of several
+    labels of an id the highest counts. Without both labels the network stays as it begins.
+    """
+    use = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    pick = bounded_sample(use, "id", rows)
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(pick), "id")
 
     def words():
         return lambda texts: ([b" ".join(words_of(t)[:TRAIN_WORDS]) for t in texts],)
 
-    got = append(pick, ["text"], [("words", T.BinaryType())], words).select("words", "label").collect()
+    got = append(texts, ["text"], [("words", T.BinaryType())], words).dropDuplicates(["id"]).select("words", "label").collect()
     got = sorted((bytes(r["words"]), r["label"]) for r in got)
     return train([w.split() for w, _ in got], [y for _, y in got], steps)
 
