@@ -10,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from seamline.llm.arrow import append
+from seamline.llm.sample import bounded_sample
+from seamline.shared import stage
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Labelled rows the model is fitted on, the least by hash of their text: the bound on what reaches the driver.
+#: Labelled rows the model is fitted on, chosen by hash of their id: the bound on what reaches the driver.
 TRAIN_ROWS = 4000
 ORDERS = (5, 4, 3, 2, 1)
 REMEMBERED = 400_000
@@ -27,14 +29,14 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
-def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, min_count: int = 3) -> dict:
-    """Counts of words and n-grams by language, from at most rows labelled texts chosen by hash.
+def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, min_count: int = 3) -> dict:
+    """Counts of words and n-grams by language, from at most rows labelled texts chosen by hash of their id.
 
     Units seen under min_count times in the sample are left to the backoff, except single characters. Counted on the
     executors; the driver gets the counts. No labelled rows give a model without languages.
     """
-    sample = train.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sample = sample.orderBy(F.xxhash64("text"), "lang").limit(rows)
+    labelled = train.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    sample = bounded_sample(labelled, "id", rows).where(F.col("text").isNotNull()).select("text", "lang")
 
     def run(batches):
         counts: Counter = Counter()
@@ -48,7 +50,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", rows:
         keys = list(counts)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "n", "unit", "k"])
 
-    counted = sample.repartition(8).mapInArrow(run, "lang string, n int, unit string, k long").groupBy("n", "unit", "lang").agg(F.sum("k").alias("k"))
+    counted = stage(sample.repartition(8).mapInArrow(run, "lang string, n int, unit string, k long").groupBy("n", "unit", "lang").agg(F.sum("k").alias("k")), "language-counts")
     known = counted.where((F.col("k") >= min_count) | (F.col("n") == 1))
     units: dict[int, dict[str, dict[str, int]]] = {n: defaultdict(dict) for n in (0, *ORDERS)}
     totals: Counter = Counter({(r["lang"], r["n"]): r["k"] for r in counted.groupBy("lang", "n").agg(F.sum("k").alias("k")).collect()})
