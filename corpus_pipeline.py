@@ -8,6 +8,8 @@ from seamline.llm import bpe, decontaminate, lines, queries, simhash, toxicity
 from seamline.shared import stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bits in which the fingerprints of near copies may differ: of texts with 0.8 of their five-word shingles in common, four fifths are within 7 bits and more are reached over others.
+RADIUS = 7
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     A document without an id stays unless all documents without one have copies with an id.
     """
-    found = stage(simhash.near_duplicates(docs), "near-copies")
+    found = stage(simhash.near_duplicates(docs, radius=RADIUS), "near-copies")
     alone = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     kept = docs.select(COLUMNS).alias("d").join(alone.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
     repeated = found.groupBy("doc_id").count().where("count > 1")

@@ -80,7 +80,10 @@ class BKTree:
 
 
 def _spanning(fps: list[tuple[int, bool, bool]], radius: int) -> list[tuple[int, int]]:
-    """Links that span the components of one work unit: each (fingerprint, in the tree?, a query?)."""
+    """Links that span the components of one work unit: each (fingerprint, in the tree?, a query?). One that is both meets those before it; the rest of the queries meet the whole tree."""
+    fps = sorted(fps, key=lambda f: not f[1])
+    if not fps[0][1]:
+        return []
     tree, up = BKTree(), list(range(len(fps)))
 
     def root(i: int) -> int:
@@ -89,42 +92,43 @@ def _spanning(fps: list[tuple[int, bool, bool]], radius: int) -> list[tuple[int,
             i = up[i]
         return i
 
-    both = all(t and q for _, t, q in fps)
-    place: list[int] = []
-    if not both:
-        for i, (x, in_tree, _) in enumerate(fps):
-            if in_tree:
-                tree.add(x)
-                place.append(i)
-    for i, (x, _, query) in enumerate(fps):
+    for i, (x, in_tree, query) in enumerate(fps):
         if query:
             for j in tree.within(x, radius):
-                up[root(i)] = root(place[j])
-        if both:  # a shard against itself: each value meets those before it
+                up[root(i)] = root(j)
+        if in_tree:
             tree.add(x)
-            place.append(i)
     return [(fps[i][0], fps[root(i)][0]) for i in range(len(fps)) if root(i) != i]
 
 
 def links(prints: DataFrame, radius: int = 3, blocks: int = 4, shard_limit: int = 4096) -> DataFrame:
     """(a, b): links that span the components of distinct fingerprints (one column, fp) at most radius bits apart.
 
-    Of blocks > radius parts of the bits, two such fingerprints agree in one at least, so the shards are the values of
-    each part. A shard of over shard_limit fingerprints is cut in parts by hash; the tree of each part is then sent to
-    the queries of each part from it onward (copies of a tree of bounded size, not a broadcast of all), so no task holds
-    more than two parts and no pair is missed. A unit emits at most one link for each of its fingerprints.
+    Of the parts that the bits are cut in, one at least differs in radius // blocks bits at most: none or one. The
+    shards are the values of each part. A fingerprint is in the tree of its own value, and queries that one and, where
+    one bit may differ, each value with one of its set bits cleared; of two values one bit apart, one is so reached
+    from the other. A shard of over shard_limit fingerprints is cut in parts by hash, and the tree of each part (of
+    bounded size) is sent to each part of the queries instead of broadcasting all trees, so no task holds more than two
+    parts at a time and no pair is missed. A unit emits at most one link for each of its fingerprints.
     """
-    if not radius < blocks <= 64:
-        raise ValueError("blocks must be over radius")
+    if not 0 < blocks <= 64 or radius // blocks > 1:
+        raise ValueError("radius must be under twice the number of blocks")
     cut = [64 * i // blocks for i in range(blocks + 1)]
-    key = F.array(*[F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1) for a, b in zip(cut, cut[1:], strict=False)])
-    keyed = prints.select("fp", F.posexplode(key).alias("block", "value"))
-    hot = stage(keyed.groupBy("block", "value").count().where(F.col("count") > shard_limit), "hot-shards")
+    value = F.array(*[F.shiftrightunsigned("fp", a).bitwiseAND((1 << (b - a)) - 1) for a, b in zip(cut, cut[1:], strict=False)])
+    keyed = prints.select("fp", F.posexplode(value).alias("block", "own"))
+    probe = keyed.withColumns({"value": F.col("own"), "home": F.lit(True)})
+    if radius >= blocks:
+        bits = F.filter(F.transform(F.sequence(F.lit(0), F.lit(max(b - a for a, b in zip(cut, cut[1:], strict=False)) - 1)), lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k).bitwiseAND(F.col("own"))), lambda x: x != 0)
+        near = keyed.select("fp", "block", "own", F.explode(F.transform(bits, lambda x: F.col("own") - x)).alias("value"), F.lit(False).alias("home"))
+        probe = probe.unionByName(near)
+    hot = stage(keyed.groupBy("block", F.col("own").alias("value")).count().where(F.col("count") > shard_limit), "hot-shards")
     parts = F.coalesce(F.ceil(F.col("count") / shard_limit), F.lit(1)).cast("int")
-    own = keyed.join(hot, ["block", "value"], "left").select("fp", "block", "value", parts.alias("parts")).withColumn("part", F.expr("cast(pmod(xxhash64(fp), parts) as int)"))
-    units = own.select("fp", "block", "value", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
-        "fp", "block", "value", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") <= F.col("other")).alias("in_tree"), (F.col("part") >= F.col("other")).alias("query")
-    )
+    own = probe.join(hot, ["block", "value"], "left").select("fp", "block", "value", "home", parts.alias("parts")).withColumn("part", F.expr("cast(pmod(xxhash64(fp), parts) as int)"))
+    units = own.select("fp", "block", "value", F.explode(F.expr("""
+        concat(
+            if(home, transform(sequence(0, parts - 1), o -> struct(part as i, o as j, true as in_tree, o = part as query)), array()),
+            transform(filter(sequence(0, parts - 1), o -> not home or o < part), o -> struct(o as i, part as j, false as in_tree, true as query)))
+    """)).alias("u")).select("fp", "block", "value", "u.*")
     dealt = units.repartition("block", "value", "i", "j").sortWithinPartitions("block", "value", "i", "j").select(F.concat_ws(",", "block", "value", "i", "j").alias("unit"), "fp", "in_tree", "query")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
