@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+#: Rows of text that a task holds at once, at most; the session's setting counts where it is lower.
+BATCH_ROWS = 2000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -19,8 +21,12 @@ def append(df: DataFrame, inputs: list[str], fields: list[tuple[str, T.DataType]
     """df with a column for each of fields, in a pass without a shuffle.
 
     make() is called once in each task and gives a function from the inputs' values (lists) to the fields' values
-    (lists). A column of df named as one of fields is replaced.
+    (lists). A column of df named as one of fields is replaced. The session's Arrow batches are cut to BATCH_ROWS, as
+    rows of these tables are whole texts.
     """
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(size)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(size, BATCH_ROWS)
     names = {n for n, _ in fields}
     use = [df[c].alias(f"__in{i}") for i, c in enumerate(inputs)]
     keep = [c for c in df.columns if c not in names]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import heapq
 import json
@@ -16,7 +17,7 @@ from seamline.llm.arrow import append
 #: The split of byte-level BPE before the merges (fixed value of the published format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words a task remembers before it forgets them all: bounds memory, has no effect on results.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -155,10 +156,13 @@ def default_vocabulary() -> str:
 
 
 def _encoder(path: str | None) -> Encoder:
+    """The process's tables of a vocabulary with an empty memory of words, which ends with the task."""
     path = path or default_vocabulary()
     if path not in _LOADED:
         _LOADED[path] = Encoder(path)
-    return _LOADED[path]
+    own = copy.copy(_LOADED[path])
+    own.known = {}
+    return own
 
 
 _LOADED: dict[str, Encoder] = {}

@@ -17,7 +17,7 @@ WINDOW, STRIDE = 32, 24
 TRAIN_ROWS, TRAIN_WORDS = 4000, 4096
 #: Sizes: state of one direction, word and character parts of an input, words and leading character n-grams with an embedding of their own, bytes of the longest n-gram.
 HIDDEN, WORD_DIM, CHAR_DIM, VOCABULARY, GRAMS, LONGEST = 8, 8, 8, 4096, 1 << 14, 10
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 THRESHOLD = 0.7
 
 
