@@ -10,6 +10,8 @@ from seamline.shared import stage
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Bits in which the fingerprints of near copies may differ: of texts with 0.8 of their five-word shingles in common, four fifths are within 7 bits and more are reached over others.
 RADIUS = 7
+#: Ids to drop up to this many are sent to every task, and the texts stay where they are; beyond it they are joined.
+BROADCAST_IDS = 500_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +32,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     A document without an id stays unless all documents without one have copies with an id.
     """
     found = stage(simhash.near_duplicates(docs, radius=RADIUS), "near-copies")
-    alone = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.select(COLUMNS).alias("d").join(alone.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
-    repeated = found.groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    ids = found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count(F.lit(1)).alias("n"))
+    gone = stage(ids.where(~F.col("stays")).select("doc_id"), "copies-to-drop")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    kept = docs.select(COLUMNS).alias("d").join((F.broadcast(gone) if few else gone).alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left_anti")
+    return kept if ids.where("n > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
