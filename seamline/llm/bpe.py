@@ -16,6 +16,8 @@ from seamline.llm.arrow import append
 
 #: The split of byte-level BPE before the merges (fixed value of the published format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Characters of texts whose unseen words are encoded together, about: bounds the pair lists.
+BATCH_CHARS = 1_500_000
 #: Words a task remembers before it forgets them all: bounds memory, has no effect on results.
 REMEMBERED = 300_000
 
@@ -130,7 +132,7 @@ class Encoder:
         for t in texts:
             held.append(self.words(t))
             size += len(t)
-            if size > 4_000_000:
+            if size > BATCH_CHARS:
                 flush()
                 size = 0
         flush()
