@@ -168,6 +168,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = connected_components(links(distinct.select("fp"), radius, blocks, shard_limit), "a", "b")
     member = distinct.join(parts.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     member = stage(member, "members")
-    least = member.groupBy("component").agg(F.min("least").alias("component_id"))
+    least = stage(member.groupBy("component").agg(F.min("least").alias("component_id")), "least-ids")  # written, so that a component with many members is split by the join
     class_of = stage(member.join(least, "component").select("fp", "component_id"), "classes")
     return rows.join(class_of, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
