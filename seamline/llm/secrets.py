@@ -92,7 +92,8 @@ def summary(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", name(s), s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"] < 3)
     number = lambda f: F.size(F.filter(base, f)).cast("long")
+    of_kind = lambda k: lambda s: s["kind"] == k  # noqa: E731  a second parameter would be the index
     return found.select(
-        id_col, *[number(lambda s, k=k: s["kind"] == k).alias(f"n_{KINDS[k]}") for k in range(3)], F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"),
+        id_col, *[number(of_kind(k)).alias(f"n_{KINDS[k]}") for k in range(3)], F.sha2(joined(base), 256).alias("base_sha256"), joined("spans").alias("spans"),
         number(lambda s: s["live"]).alias("n_live"), number(lambda s: ~s["live"]).alias("n_example"),
     )
