@@ -8,7 +8,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seamline.operators import compare, cooc, graph, merge, partition, relations as rel
-from seamline.plans import substrate as sub
+from seamline.functions import inflect as names, rawsql
+from seamline.plans import sinks, substrate as sub
+from seamline.sources import files
 from seamline.plans.substrate import sql
 from seamline.shared import stage
 
@@ -371,3 +373,63 @@ def partition_levels(spark, sf_dir):
     nodes = units.groupBy(F.col("unit").alias("node")).agg(F.count(F.lit(1)).alias("size")).withColumn("is_hub", F.lit(False)).unionByName(g.hubs.select("node", F.lit(0).cast("long").alias("size"), F.lit(True).alias("is_hub")))
     one = F.lit("combined").alias("view")
     return partition.levels(edges.select(one, "*"), nodes.select(one, "*"))
+
+
+# -- names, sources and sinks --------------------------------------------------------------------------------------
+
+_WORDS = ["OrderItem", "Person", "Category", "Address", "Status", "Box", "Day", "Child"]
+_TABLES = ["order_items", "people", "categories", "addresses", "statuses", "boxes", "days", "children"]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{a}')" for a, b in zip(_WORDS, _TABLES, strict=True)) + ") AS t(word, tableized, back)")
+def inflect(spark, sf_dir):
+    w = spark.createDataFrame([(x,) for x in _WORDS], "word string").withColumn("tableized", names.tableize(F.col("word")))
+    return w.withColumn("back", names.classify(F.col("tableized")))
+
+
+@query("""SELECT * FROM (VALUES (1, 'order_log,orders', ''), (2, '', 'a,b'), (3, 'tbl_x', 'y')) AS t(id, written, read)""")
+def raw_sql_tables(spark, sf_dir):
+    rows = [(1, 'q("INSERT INTO `Orders` VALUES (1)"); q("UPDATE order_log SET x = 1"); // update the docs'), (2, "SELECT * FROM a JOIN b ON 1 = 1 /* FROM c */"), (3, '$c->delete("tbl_x"); $c->from("y"); DELETE FROM tbl_x')]
+    src = spark.createDataFrame(rows, "id int, src string")
+    return src.select("id", F.array_join(rawsql.written_tables(F.col("src")), ",").alias("written"), F.array_join(rawsql.read_tables(F.col("src")), ",").alias("read"))
+
+
+@query("SELECT * FROM (VALUES ('customers_version', 'customers'), ('orders_version', 'orders'), ('orders_version_version', 'orders')) AS t(from_table, to_table)")
+def shadow_bundle(spark, sf_dir):
+    t = spark.createDataFrame([(x,) for x in ("customers", "customers_version", "ghost_version", "orders", "orders_version", "orders_version_version", "items")], "table string")
+    return rel.bundle_map(t, [("suffix", "_version"), ("prefix", "old_")])
+
+
+@query("SELECT * FROM (VALUES ('Post', 'post'), ('comment', 'tbl_comment'), ('missing', NULL), ('user', 'tbl_user')) AS t(name, \"table\")")
+def name_resolve(spark, sf_dir):
+    t = spark.createDataFrame([(x,) for x in ("post", "tbl_user", "tbl_comment", "tbl_audit")], "table string")
+    n = spark.createDataFrame([(x,) for x in ("Post", "user", "comment", "missing")], "name string")
+    return merge.resolve_names(n, t, merge.infer_prefix(n, t))
+
+
+@query("SELECT * FROM (VALUES ('resp_1', 'resp_*'), ('Resp_2', 'resp_*')) AS t(\"table\", vertex)")
+def family_bundle(spark, sf_dir):
+    t = spark.createDataFrame([(x,) for x in ("resp_1", "Resp_2", "old_resp_1_2024", "resp_log")], "table string")
+    return merge.families(t, spark.createDataFrame([("resp_", "")], "prefix string, suffix string"))
+
+
+@query(sql(_CORE, "SELECT a, b, 'ALTER TABLE `' || child || '` DROP FOREIGN KEY `' || child || '-' || parent || '`;' AS ddl FROM bridge JOIN rel ON least(child, parent) = a AND greatest(child, parent) = b"))
+def contract_ddl(spark, sf_dir):
+    g = Graph(spark, sf_dir)
+    return sinks.contract_ddl(g.bridges, g.relations)
+
+
+@query("SELECT * FROM (VALUES ('new.rb', 5), ('other.rb', 1)) AS t(path, n)")
+def churn_alias(spark, sf_dir):
+    log = ["M\tnew.rb", "M\tnew.rb", "R100\tmid.rb\tnew.rb", "M\tmid.rb", "R090\told.rb\tmid.rb", "A\tother.rb"]
+    return files.churn(spark.createDataFrame(list(enumerate(log)), "seq long, line string")).select("path", F.col("n").cast("int").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('7:1', 'orders'), ('7:1', 'order_items'), ('9:1', 'orders')) AS t(tx, \"table\")")
+def txlog_parse(spark, sf_dir):
+    log = [
+        "2024-01-01T00:00:00Z 7 Query BEGIN", "2024-01-01T00:00:00Z 9 Query START TRANSACTION", "2024-01-01T00:00:01Z 7 Query INSERT INTO `Orders` VALUES (1)", "2024-01-01T00:00:01Z 9 Query UPDATE orders SET x = 1",
+        "2024-01-01T00:00:02Z 7 Execute DELETE FROM shop.order_items", "2024-01-01T00:00:02Z 7 Query COMMIT", "2024-01-01T00:00:03Z 9 Query commit", "2024-01-01T00:00:04Z 7 Query UPDATE lone SET x = 1", "2024-01-01T00:00:05Z 8 Query BEGIN",
+        "2024-01-01T00:00:05Z 8 Query INSERT INTO gone VALUES (1)", "2024-01-01T00:00:06Z 8 Quit ", "2024-01-01T00:00:07Z 8 Query COMMIT",
+    ]
+    return cooc.read_log(spark.createDataFrame(list(enumerate(log)), "seq long, line string"))
