@@ -39,13 +39,13 @@ def dump_schema(tables: list[str], relations: DataFrame, path: str, schema: str,
 def relations_tsv(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, child, columns, parent) of lines of three tab-separated cells; # starts a comment, columns are comma-separated, a header may come first. Other lines and empty cells are errors."""
     rows = numbered(spark, path).select("seq", F.regexp_replace("line", "#.*$", "").alias("line")).where(F.trim(F.regexp_replace("line", "\t", " ")) != "")
-    cells = rows.select("seq", F.transform(F.split("line", "\t"), F.trim).alias("c"))
+    cells = rows.select("seq", F.transform(F.split("line", "\t"), lambda x: F.trim(x)).alias("c"))
     bad = cells.where((F.size("c") != 3) | F.exists("c", lambda x: x == "")).orderBy("seq").first()
     if bad:
         raise ValueError(f"{path}:{bad['seq']}: three tab-separated cells are needed")
     first = cells.agg(F.min("seq")).first()[0]
     header = (F.col("seq") == F.lit(first)) & F.lower(F.col("c")[0]).isin("child", "child_table") & F.lower(F.col("c")[2]).isin("parent", "parent_table")
-    return cells.where(~header).select(F.col("seq").alias("line_no"), F.col("c")[0].alias("child"), F.transform(F.split(F.col("c")[1], ","), F.trim).alias("columns"), F.col("c")[2].alias("parent"))
+    return cells.where(~header).select(F.col("seq").alias("line_no"), F.col("c")[0].alias("child"), F.transform(F.split(F.col("c")[1], ","), lambda x: F.trim(x)).alias("columns"), F.col("c")[2].alias("parent"))
 
 
 def bundle_rules(spark: SparkSession, path: str) -> list[tuple[str, str]]:
