@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seamline.operators import compare, cooc, graph, merge, partition, relations as rel
 from seamline.functions import inflect as names, rawsql
-from seamline.plans import sinks, substrate as sub
+from seamline.plans import analysis, sinks, substrate as sub
 from seamline.sources import files
 from seamline.plans.substrate import sql
 from seamline.shared import stage
@@ -433,3 +433,10 @@ def txlog_parse(spark, sf_dir):
         "2024-01-01T00:00:05Z 8 Query INSERT INTO gone VALUES (1)", "2024-01-01T00:00:06Z 8 Quit ", "2024-01-01T00:00:07Z 8 Query COMMIT",
     ]
     return cooc.read_log(spark.createDataFrame(list(enumerate(log)), "seq long, line string"))
+
+
+@query()
+def hub_scan(spark, sf_dir):
+    r = stage(sub.trade_relations(spark, sf_dir).drop("r", "cnt"), "relations")
+    tables = r.select(F.explode(F.array("child_table", "parent_table")).alias("table")).distinct()
+    return analysis.hub_scan(analysis.Dataset(tables, r), 12)
