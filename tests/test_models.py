@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from seamline.sources import rails
+from pyspark.sql import functions as F
+
+from seamline.functions import inflect
+from seamline.sources import rails, yii
 
 RUBY = {
     "app/models/application_record.rb": "class ApplicationRecord < ActiveRecord::Base\n  primary_abstract_class\nend\n",
@@ -64,3 +67,66 @@ def test_rails(spark, tmp_path):
 def test_rails_without_models(spark, tmp_path):
     out = rails.rails(spark, _tree(tmp_path, {"lib/a.rb": "class A\nend\n"}))
     assert all(df.isEmpty() for df in out.values())
+
+
+PHP = {
+    "protected/config/main.php": "<?php return array('db' => array('tablePrefix' => 'app_'));",
+    "protected/models/Base.php": "<?php\nabstract class Base extends CActiveRecord\n{\n}\n",
+    "protected/models/Shop.php": """<?php
+class Shop extends Base
+{
+    public function tableName() { return '{{shop}}'; } // 'other'
+    public function relations()
+    {
+        return array(
+            'owner' => array(self::BELONGS_TO, 'owner', array('owned_by' => 'id')),
+            'lines' => array(self::HAS_MANY, Line::class, '', 'on' => "$alias.id = lines.shop_ref"),
+            'tags' => array(self::MANY_MANY, 'Tag', '{{shop_tag}}(shop_id, tag_id)'),
+            /* 'gone' => array(self::BELONGS_TO, 'Owner', 'gone_id'), */
+        );
+    }
+    public function getLogTable() { return '{{log_' . $this->id . '}}'; }
+    public function scopes() { return array('full' => array('with' => array('lines'))); }
+    public function beforeDelete()
+    {
+        Log::model()->deleteAll('shop = ' . $this->id);
+        return true;
+    }
+    public function count() { return Yii::app()->db->createCommand('SELECT 1 FROM {{shop_tag}}'); }
+}
+""",
+    "protected/modules/a/models/Owner.php": "<?php\nclass Owner extends Base\n{\n    public function tableName() { return 'owners'; }\n    public function touch() { Shop::model()->updateAll(array('a' => 1)); }\n}\n",
+    "protected/models/Line.php": "<?php\nclass Line extends Shop\n{\n    public function tableName() { return 'line'; }\n    public function relations()\n    {\n        $r = parent::relations();\n        foreach (x() as $f) $r[$f->n] = array(self::BELONGS_TO, $f->t, $f->c);\n        $r['two'] = array(self::BELONGS_TO, 'App\\\\models\\\\Owner', 'a, b');\n        return $r;\n    }\n}\n",
+    "protected/models/Log.php": "<?php\nclass Log extends Base\n{\n    /** @var Shop $shop */\n    protected $shop;\n    public function tableName() { return $this->shop->logTable; }\n}\n",
+    "protected/models/Plain.php": "<?php\nclass Plain extends CFormModel {}\n",
+    "protected/tests/models/Mock.php": "<?php\nclass Mock extends Base { public function tableName() { return 'mock'; } }\n",
+}
+
+
+def test_yii1(spark, tmp_path):
+    out = yii.yii1(spark, _tree(tmp_path, PHP))
+    assert set(_relations(out)) == {
+        ("app_shop", ("owned_by",), "owners"),
+        ("line", ("shop_ref",), "app_shop"),
+        ("app_shop_tag", ("shop_id",), "app_shop"),
+        ("line", ("a", "b"), "owners"),
+        ("line", ("owned_by",), "owners"),
+        ("line", ("shop_ref",), "line"),
+        ("app_shop_tag", ("shop_id",), "line"),
+    }
+    assert {r.table for r in out["tables"].collect()} == {"app_shop", "owners", "line", "app_log_*", "app_shop_tag"}
+    assert {(r.from_table, r.to_table, r.strong, r.why) for r in out["suspects"].collect()} == {
+        ("app_shop", "app_log_*", True, "manual cascade"),
+        ("app_shop", "app_log_*", True, "mention"),
+        ("app_shop", "line", False, "with"),
+        ("app_shop", "app_shop_tag", False, "raw read"),
+        ("owners", "app_shop", True, "bulk write"),
+        ("owners", "app_shop", False, "mention"),
+    }
+    assert {r.note for r in out["notes"].collect()} == {"no model for Shop.tags: not made a relation", "no model for Line.tags: not made a relation", "Line: 1 relations are made at run time"}
+
+
+def test_inflection_agrees_with_the_columns(spark):
+    words = ["order", "category", "box", "person", "status", "bus", "class", "day", "branch", "datum", "people", "categories", "boxes", "orders", "classes", "analysis"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", inflect.pluralize(F.col("w")).alias("p"), inflect.singularize(F.col("w")).alias("s")).collect()
+    assert [(rails.plural(r.w), rails.singular(r.w)) for r in rows] == [(r.p, r.s) for r in rows]
