@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from seamline.model import EVIDENCE, RELATION
 from seamline.operators.relations import relation_key, unite
 
 
@@ -70,3 +71,39 @@ def families(tables: DataFrame, names: DataFrame) -> DataFrame:
     cut = spots.select("table", F.expr("substring(low, 1, i - 1)").alias("p"), F.regexp_extract(F.expr("substring(low, i)"), "^([0-9]+)(.*)$", 1).alias("digits"), F.regexp_extract(F.expr("substring(low, i)"), "^([0-9]+)(.*)$", 2).alias("s")).where("digits <> '' AND NOT p RLIKE '[0-9]$'")
     hit = cut.join(names.select(F.lower("prefix").alias("p"), F.lower("suffix").alias("s"), F.concat("prefix", F.lit("*"), "suffix").alias("vertex")), ["p", "s"])
     return hit.groupBy("table").agg(F.min("vertex").alias("vertex"), F.countDistinct("vertex").alias("n")).where("n = 1").select("table", "vertex")
+
+
+def family_vertices(tables: DataFrame, declared: DataFrame, prefix: str | None = None) -> DataFrame:
+    """(name, table): catalog tables of the families among declared tables (table, with one * for a number), by their vertex.
+
+    A family is looked for by its own name and with the inferred prefix; one found both ways is left alone, and so is a
+    catalog table that a declared table without * names itself.
+    """
+    star = declared.where("table LIKE '%*%' AND table NOT LIKE '%*%*%'").select("table", F.substring_index("table", "*", 1).alias("prefix"), F.substring_index("table", "*", -1).alias("suffix")).distinct()
+    ways = star.select("table", "prefix", "suffix")
+    if prefix:
+        ways = ways.unionByName(star.select("table", F.concat(F.lit(prefix), "prefix").alias("prefix"), "suffix"))
+    ways = ways.withColumn("vertex", F.concat("prefix", F.lit("*"), "suffix"))
+    free = tables.join(declared.select(F.lower("table").alias("__low")).distinct(), F.lower("table") == F.col("__low"), "left_anti")
+    hit = families(free, ways.select("prefix", "suffix").distinct()).withColumnRenamed("table", "name").join(ways.select("vertex", "table"), "vertex")
+    once = hit.groupBy("table").agg(F.countDistinct("vertex").alias("n")).where("n = 1").select("table")
+    return hit.join(once, "table").select("name", "table")
+
+
+def metadata_relations(listed: DataFrame, tables: DataFrame, classes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Declared relations of a list (line_no, child, columns, parent) and its rows that name an unknown table.
+
+    A name is a table, else the class (class, table) that it is without regard to case, if it is the only one.
+    """
+    known = tables.select(F.col("table").alias("name"), "table").distinct()
+    names = listed.select(F.explode(F.array("child", "parent")).alias("name")).distinct()
+    out = names.join(known, "name", "left")
+    if classes is not None:
+        one = classes.groupBy(F.lower("class").alias("low")).agg(F.min("table").alias("of_class"), F.countDistinct("table").alias("n")).where("n = 1").select("low", "of_class")
+        out = out.join(one, F.lower("name") == F.col("low"), "left").select("name", F.coalesce("table", "of_class").alias("table"))
+    at = lambda c: out.select(F.col("name").alias(c), F.col("table").alias(f"{c}_table"))
+    both = listed.join(at("child"), "child", "left").join(at("parent"), "parent", "left")
+    label = F.concat(F.lit("metadata:"), F.col("line_no").cast("string"))
+    said = F.struct(F.lit("metadata").alias("source"), label.alias("origin"), label.alias("constraint"), F.lit("NO ACTION").alias("delete_rule"), F.lit("unknown").alias("nullable")).cast(EVIDENCE)
+    typed = both.where("child_table IS NOT NULL AND parent_table IS NOT NULL").select("child_table", F.col("columns").alias("child_columns"), "parent_table", label.alias("constraint"), F.lit("NO ACTION").alias("delete_rule"), F.lit("unknown").alias("nullable"), F.lit(False).alias("all_not_null"), F.lit(None).cast("string").alias("parent_schema"), F.array(said).alias("evidences"))
+    return typed.select(*[F.col(f.name).cast(f.dataType) for f in RELATION]), both.where("child_table IS NULL OR parent_table IS NULL").select(listed.columns)

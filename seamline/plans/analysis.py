@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F
 
 from seamline.model import OBSERVED_NPMI, VIEWS
-from seamline.operators import compare, cooc, graph, partition, relations as rel
+from seamline.operators import compare, cooc, graph, merge, partition, relations as rel
 from seamline.shared import stage
 
 
@@ -157,3 +157,21 @@ def regressed(before: Analysis, now: Analysis) -> tuple[DataFrame, DataFrame, bo
     pairs = compare.baseline_diff(*[a.edges.select(F.col("a").alias("child"), F.col("b").alias("parent")) for a in (before, now)])
     totals = compare.baseline_hub_delta(compare.hub_totals(before.contracts), compare.hub_totals(now.contracts))
     return pairs, totals, not pairs.where("change = 'added'").isEmpty() or not totals.where("regressed").isEmpty()
+
+
+def merge_datasets(physical: Dataset, logical: Dataset) -> Dataset:
+    """A catalog's dataset and a declared one as one: declared names become catalog names (exact, by case, by the prefix that most need), families become one vertex, and relations are merged by key."""
+    names = logical.tables.select(F.col("table").alias("name")).distinct()
+    prefix = merge.infer_prefix(names, physical.tables)
+    vertex = stage(merge.family_vertices(physical.tables, logical.tables, prefix), "families")
+    found = stage(merge.resolve_names(names, physical.tables, prefix).where("table IS NOT NULL"), "names")
+    renamed = lambda t, by: t.join(by.select(F.col("name").alias("__n"), F.col("table").alias("__t")), F.col("table") == F.col("__n"), "left").select(F.coalesce("__t", "table").alias("table"))
+    own = merge.rename_ends(physical.relations, vertex)
+    suspects = logical.suspects
+    if suspects is not None:
+        for c in ("from_table", "to_table"):
+            suspects = suspects.join(found.select(F.col("name").alias("__n"), F.col("table").alias("__t")), F.col(c) == F.col("__n"), "left").withColumn(c, F.coalesce("__t", c)).drop("__n", "__t")
+    return Dataset(
+        renamed(physical.tables, vertex).union(renamed(logical.tables, found)).distinct(),
+        merge.merge_relations(own, merge.rename_ends(logical.relations, found)), physical.cross, suspects, logical.tx_tables if physical.tx_tables is None else physical.tx_tables,
+    )

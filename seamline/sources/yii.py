@@ -195,8 +195,8 @@ def read(sources: list[Source]) -> Found:
     prefix = re.search(r"""["']tablePrefix["']\s*=>\s*["']([^"']*)["']""", without_comments(config))
     models = [s for s in sources if "/models/" in f"/{s.path}"]
     tree, found = Tree(models, prefix[1] if prefix else ""), Found()
-    for table in tree.tables.values():
-        found.table(table)
+    for key, table in tree.tables.items():
+        found.table(table, tree.classes[key].name)
     for note in tree.notes:
         found.note(note)
     for key, own in tree.tables.items():

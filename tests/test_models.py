@@ -130,3 +130,27 @@ def test_inflection_agrees_with_the_columns(spark):
     words = ["order", "category", "box", "person", "status", "bus", "class", "day", "branch", "datum", "people", "categories", "boxes", "orders", "classes", "analysis"]
     rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", inflect.pluralize(F.col("w")).alias("p"), inflect.singularize(F.col("w")).alias("s")).collect()
     assert [(rails.plural(r.w), rails.singular(r.w)) for r in rows] == [(r.p, r.s) for r in rows]
+
+
+def test_merge_with_a_catalog(spark):
+    from seamline.model import RELATION
+    from seamline.operators import merge
+    from seamline.plans.analysis import Dataset, merge_datasets
+
+    def rel(child, col, parent, source):
+        return (f"{child}-{col}", child, [col], None, parent, "NO ACTION", False, "unknown", [(source, "", "", "NO ACTION", "unknown")])
+
+    def data(tables, rels):
+        return Dataset(spark.createDataFrame([(t,) for t in tables], "table string"), spark.createDataFrame(rels, RELATION))
+
+    catalog = data(["t_post", "t_user", "t_log_1", "t_log_2", "alone"], [rel("t_post", "user_id", "t_user", "physical"), rel("t_log_1", "post_id", "t_post", "physical")])
+    models = data(["post", "user", "log_*"], [rel("post", "user_id", "user", "yii1"), rel("post", "editor_id", "user", "yii1")])
+    out = merge_datasets(catalog, models)
+    assert {r.table for r in out.tables.collect()} == {"t_post", "t_user", "log_*", "alone"}
+    assert {(r.child_table, r.child_columns[0], r.parent_table, tuple(sorted(e.source for e in r.evidences))) for r in out.relations.collect()} == {
+        ("t_post", "user_id", "t_user", ("physical", "yii1")), ("log_*", "post_id", "t_post", ("physical",)), ("t_post", "editor_id", "t_user", ("yii1",)),
+    }
+    listed = spark.createDataFrame([(2, "t_post", ["a", "b"], "USER"), (3, "t_post", ["c"], "nothing")], "line_no int, child string, columns array<string>, parent string")
+    new, unknown = merge.metadata_relations(listed, catalog.tables, spark.createDataFrame([("User", "t_user")], "class string, table string"))
+    assert [(r.child_table, r.child_columns, r.parent_table) for r in new.collect()] == [("t_post", ["a", "b"], "t_user")]
+    assert [r.line_no for r in unknown.collect()] == [3]
