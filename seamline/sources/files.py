@@ -93,12 +93,34 @@ def churn(lines: DataFrame) -> DataFrame:
     return lines.groupBy(F.lit(1).alias("log")).applyInPandas(lambda pdf: fold(pdf), "path string, n long")
 
 
+def table_churn(paths: DataFrame, model_files: DataFrame) -> DataFrame:
+    """(table, churn): commits (path, n) of the files (file, table) that define a table. A file's path may be given from a folder further down than the log's; each logged path is expanded by its ends and joined on equality."""
+    parts = F.split("path", "/")
+    ends = paths.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))).alias("file"))
+    return ends.join(model_files.select("file", "table").distinct(), "file").groupBy("table").agg(F.sum("n").alias("churn"))
+
+
+def history(spark: SparkSession, folder: str) -> DataFrame:
+    """(seq, line) of a repository's name-status log, newest first, with renames."""
+    import subprocess
+
+    log = subprocess.run(["git", "-C", folder, "log", "-M", "--name-status", "--pretty=format:"], check=True, capture_output=True, text=True).stdout
+    return spark.createDataFrame([(i, line) for i, line in enumerate(log.splitlines()) if line], "seq long, line string")
+
+
 def catalog_jdbc(spark: SparkSession, url: str, **options: str) -> DataFrame:
     """Catalog rows for relations.fold_keys, of the current schema; joins and filters run in the database, which is Postgres for postgres:// and postgresql:// addresses and MySQL else."""
     text = POSTGRES_KEYS if url.removeprefix("jdbc:").startswith(("postgres://", "postgresql://")) else MYSQL_KEYS
     return spark.read.format("jdbc").options(url=url, query=text, **options).load()
 
 
+def catalog_tables(spark: SparkSession, url: str, **options: str) -> DataFrame:
+    """(table) of the current schema's tables; views are left out."""
+    own = "current_schema()" if url.removeprefix("jdbc:").startswith(("postgres://", "postgresql://")) else "DATABASE()"
+    text = f"""SELECT table_name AS "table" FROM information_schema.tables WHERE table_schema = {own} AND table_type = 'BASE TABLE'"""
+    return spark.read.format("jdbc").options(url=url, query=text, **options).load()
+
+
 # The catalogs' own tables and columns.
 MYSQL_KEYS = """SELECT k.constraint_name AS "constraint", k.table_name AS child_table, k.ordinal_position AS ordinal, k.column_name AS "column", c.is_nullable = 'NO' AS not_null,
 NULLIF(k.referenced_table_schema, DATABASE()) AS parent_schema, k.referenced_table_name AS parent_table, r.delete_rule

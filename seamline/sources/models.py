@@ -33,8 +33,8 @@ class Found:
 
     rows: list[dict] = field(default_factory=list)
 
-    def table(self, name: str, model: str) -> None:
-        self.rows.append({"kind": "table", "a": name, "b": model})
+    def table(self, name: str, model: str, origin: str) -> None:
+        self.rows.append({"kind": "table", "a": name, "b": model, "origin": origin})
 
     def relation(self, child: str, columns: list[str], parent: str, label: str, origin: str, nullable: str = "unknown", cascade: bool = False) -> None:
         self.rows.append({"kind": "relation", "a": child, "columns": columns, "b": parent, "label": label, "origin": origin, "nullable": nullable, "delete_rule": "CASCADE" if cascade else "NO ACTION"})
@@ -67,7 +67,7 @@ def resolve(sources: DataFrame, read: Callable[[list[Source]], Found]) -> DataFr
 
 
 def frames(found: DataFrame, source: str) -> dict[str, DataFrame]:
-    """tables, relations (one for each child, columns and parent, with all its evidence), suspects, notes, and the table of each class.
+    """tables, relations (one for each child, columns and parent, with all its evidence), suspects, notes, and the table of each class and file.
 
     A relation cascades if any declaration does; of nullabilities a stated one goes before unknown, and false before true.
     """
@@ -84,6 +84,7 @@ def frames(found: DataFrame, source: str) -> dict[str, DataFrame]:
     return {
         "tables": found.where("kind = 'table'").select(F.col("a").alias("table")).union(ends).distinct(),
         "classes": found.where("kind = 'table'").select(F.col("b").alias("class"), F.col("a").alias("table")).distinct(),
+        "files": found.where("kind = 'table'").select(F.regexp_replace("origin", ":[0-9]+$", "").alias("file"), F.col("a").alias("table")).distinct(),
         "relations": typed.select(*[F.col(f.name).cast(f.dataType) for f in RELATION]),
         "suspects": found.where("kind = 'suspect'").select(F.col("a").alias("from_table"), F.col("b").alias("to_table"), "strong", F.col("label").alias("why")).distinct(),
         "notes": found.where("kind = 'note'").select(F.col("label").alias("note")).distinct(),

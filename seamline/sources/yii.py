@@ -196,7 +196,7 @@ def read(sources: list[Source]) -> Found:
     models = [s for s in sources if "/models/" in f"/{s.path}"]
     tree, found = Tree(models, prefix[1] if prefix else ""), Found()
     for key, table in tree.tables.items():
-        found.table(table, tree.classes[key].name)
+        found.table(table, tree.classes[key].name, tree.classes[key].origin)
     for note in tree.notes:
         found.note(note)
     for key, own in tree.tables.items():
