@@ -121,4 +121,36 @@ SELECT doc_id, CAST(n_sentences AS BIGINT) AS n_sentences, sentence_ids, coalesc
 """
 
 
-ORACLE_SQL = {"op4_line_dedup": _OP4, "op5_decontaminate": _OP5, "op8_licenses": _op8(), "op9_exact_dedup": _OP9}
+def _op2() -> str:
+    """The same classes by a recursive closure over the links; RE2 has no lookahead, so a tag is found first and tested then."""
+    host = lambda url: _LOWER.format(f"coalesce(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), '')")
+    path = lambda url: f"coalesce(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+    key = lambda url: f"{host(url)} || CASE {path(url)} WHEN '' THEN '/' ELSE {path(url)} END || coalesce(regexp_extract({url}, '(?s)^[^#?]*([?][^#]*)', 1), '')"
+
+    def rule(h: str, p: str, part: int) -> str:
+        longest = sorted(urls.RULES, key=lambda r: (len(r[1] + r[2]), r[1], r[2]), reverse=True)
+        return "CASE " + " ".join(f"WHEN ({h} = '{rh}' OR ends_with({h}, '.{rh}')) AND starts_with({p}, '{rp}') THEN '{verdict if part else rh + rp}'" for verdict, rh, rp in longest) + " END"
+
+    def first(tag: str, marked: str, value: str) -> str:
+        return f"nullif(regexp_extract(list_filter(regexp_extract_all(html, '(?i)<{tag}\\b[^>]*'), lambda x: regexp_matches(x, '{marked}') AND regexp_matches(x, '{value}'))[1], '{value}', 1), '')"
+
+    gap = r"""\s*=\s*["'']?"""
+    canonical = first("link", rf"(?i)\brel{gap}canonical\b", rf"""(?i)^[^>]*\bhref{gap}([^"''\s>]+)""")
+    refresh = first("meta", rf"(?i)\bhttp-equiv{gap}refresh\b", r"""(?i)^[^>]*\bcontent\s*=\s*["''][^"''>]*?url\s*=\s*([^"''\s>]+)""")
+    own = rule("regexp_extract(other, '(?s)^([^/?#]*)', 1)", "regexp_extract(other, '(?s)^[^/?#]*([^?]*)', 1)", 1)
+    return f"""
+WITH RECURSIVE page AS (SELECT page_id, url, html, {host("url")} AS host, {path("url")} AS path FROM pages),
+said AS (SELECT url, host, path, unnest([{canonical}, {refresh}]) AS href FROM page WHERE contains(url, '://') AND (contains(lower(html), 'canonical') OR contains(lower(html), 'refresh'))),
+target AS (SELECT url, CASE WHEN contains(href, '://') THEN href WHEN starts_with(href, '//') THEN 'http:' || href WHEN starts_with(href, '/') THEN 'http://' || host || href
+    ELSE 'http://' || host || CASE path WHEN '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || href END AS dst FROM said WHERE href IS NOT NULL),
+link AS (SELECT {key("url")} AS src, {key("dst")} AS dst FROM target),
+edge AS (SELECT src, dst FROM link UNION SELECT dst, src FROM link),
+reach AS (SELECT src AS key, src AS other FROM edge UNION SELECT reach.key, edge.dst FROM reach JOIN edge ON reach.other = edge.src),
+vote AS (SELECT key, {own} AS own FROM reach),
+class AS (SELECT key, CASE WHEN coalesce(bool_or(own = 'block'), false) AND NOT coalesce(bool_or(own = 'allow'), false) THEN 'block' ELSE 'allow' END AS verdict FROM vote GROUP BY key),
+judged AS (SELECT page_id, host, path, {rule("host", "path", 0)} AS rule, {rule("host", "path", 1)} AS own, CASE WHEN contains(url, '://') THEN {key("url")} END AS key FROM page)
+SELECT page_id, host, path, rule, coalesce(own, class.verdict, 'allow') AS verdict FROM judged LEFT JOIN class USING (key)
+"""
+
+
+ORACLE_SQL = {"op2_url_filter": _op2(), "op4_line_dedup": _OP4, "op5_decontaminate": _OP5, "op8_licenses": _op8(), "op9_exact_dedup": _OP9}

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import duckdb
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +149,10 @@ def test_urls(spark):
         (7, "y.org", "/1", None, "allow"), (8, "y.org", "/1", None, "allow"), (9, "net", "/fr/", "net/fr/", "block"), (10, "b.org", "", None, "allow"), (11, "example.com", "", None, "allow"),
     ], key=repr)
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    assert sorted({tuple(r) for r in con.execute(queries.ORACLE_SQL["op2_url_filter"]).fetchall()}, key=repr) == seen
 
 
 def test_bpe_round_trip(spark):
