@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from seamline.operators import compare, cooc, graph, merge, partition, relations as rel
 from seamline.functions import inflect as names, rawsql
 from seamline.plans import analysis, sinks, substrate as sub
-from seamline.sources import files
+from seamline.sources import files, models, rails, yii
 from seamline.plans.substrate import sql
 from seamline.shared import stage
 
@@ -435,6 +435,59 @@ def txlog_parse(spark, sf_dir):
     return cooc.read_log(spark.createDataFrame(list(enumerate(log)), "seq long, line string"))
 
 
+def _tree(spark, texts: dict[str, str], read) -> dict[str, DataFrame]:
+    src = spark.createDataFrame([("tree", k, v) for k, v in texts.items()], "tree string, path string, text string")
+    src = src.select("*", rawsql.written_tables(F.col("text")).alias("writes"), rawsql.read_tables(F.col("text")).alias("reads"))
+    return models.frames(models.resolve(src, read), "models")
+
+
+_RUBY = {
+    "app/models/nation.rb": "class Nation < ApplicationRecord\n  belongs_to :region\n  has_many :customers, dependent: :destroy\nend",
+    "app/models/region.rb": "class Region < ApplicationRecord\nend",
+    "app/models/customer.rb": "class Customer < ApplicationRecord\n  belongs_to :nation, optional: true\n  has_many :orders\nend",
+    "app/models/order.rb": "class Order < ApplicationRecord\n  belongs_to :customer,\n             foreign_key: 'custkey'\n  after_save :count\n  def count = Region.touch_all\nend",
+}
+_PHP = {
+    "protected/config/main.php": "<?php return array('tablePrefix' => 't_');",
+    "protected/models/Orders.php": "<?php class Orders extends CActiveRecord {\n function tableName() { return '{{orders}}'; }\n function relations() { return array('c' => array(self::BELONGS_TO, 'Customer', 'custkey'),\n 'parts' => array(self::MANY_MANY, 'Part', '{{lineitem}}(orderkey, partkey)')); }\n function afterDelete() { Part::model()->deleteAll(); }\n}",
+    "protected/models/Customer.php": "<?php class Customer extends CActiveRecord {\n function tableName() { return 'customer'; }\n function relations() { return ['o' => [self::HAS_MANY, 'Orders', 'custkey']]; }\n}",
+    "protected/models/Part.php": "<?php class Part extends CActiveRecord {\n function tableName() { return '{{part}}'; }\n}",
+}
+
+
+def _declared(found: dict[str, DataFrame]) -> DataFrame:
+    return found["relations"].select("child_table", F.array_join("child_columns", ",").alias("child_columns"), "parent_table", "delete_rule", "nullable", F.size("evidences").alias("n_evidence"))
+
+
+@query("""SELECT * FROM (VALUES ('nations', 'region_id', 'regions', 'NO ACTION', 'false', 1), ('customers', 'nation_id', 'nations', 'CASCADE', 'true', 2), ('orders', 'custkey', 'customers', 'NO ACTION', 'false', 1))
+AS t(child_table, child_columns, parent_table, delete_rule, nullable, n_evidence)""")
+def rails_relations(spark, sf_dir):
+    return _declared(_tree(spark, _RUBY, rails.read))
+
+
+@query("SELECT * FROM (VALUES ('orders', 'regions', true, 'mention')) AS t(from_table, to_table, strong, why)")
+def rails_suspects(spark, sf_dir):
+    return _tree(spark, _RUBY, rails.read)["suspects"]
+
+
+@query("""SELECT * FROM (VALUES ('t_orders', 'custkey', 'customer', 'NO ACTION', 'unknown', 2), ('t_lineitem', 'orderkey', 't_orders', 'NO ACTION', 'unknown', 1), ('t_lineitem', 'partkey', 't_part', 'NO ACTION', 'unknown', 1))
+AS t(child_table, child_columns, parent_table, delete_rule, nullable, n_evidence)""")
+def yii1_relations(spark, sf_dir):
+    return _declared(_tree(spark, _PHP, yii.read))
+
+
+@query("SELECT * FROM (VALUES ('t_orders', 't_part', true, 'manual cascade')) AS t(from_table, to_table, strong, why)")
+def yii1_suspects(spark, sf_dir):
+    return _tree(spark, _PHP, yii.read)["suspects"]
+
+
+@query("SELECT * FROM (VALUES ('customer', 3), ('orders', 1)) AS t(\"table\", churn)")
+def table_churn(spark, sf_dir):
+    paths = spark.createDataFrame([("app/protected/models/Customer.php", 2), ("protected/models/Customer.php", 1), ("models/Orders.php", 1), ("x/notmodels/Orders.php", 4)], "path string, n int")
+    of = spark.createDataFrame([("protected/models/Customer.php", "customer"), ("models/Orders.php", "orders")], "file string, table string")
+    return files.table_churn(paths, of).select("table", F.col("churn").cast("int").alias("churn"))
+
+
 @query()
 def hub_scan(spark, sf_dir):
     r = stage(sub.trade_relations(spark, sf_dir).drop("r", "cnt"), "relations")

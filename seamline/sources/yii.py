@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seamline.sources.models import Found, Source, files, frames, resolve
 
-CLASS = re.compile(r"^[ \t]*(abstract\s+|final\s+)*class\s+(\w+)(?:\s+extends\s+\\?([\w\\]+))?[^{]*\{", re.M | re.I)
+CLASS = re.compile(r"(?:^[ \t]*|<\?php\s+|[;}]\s*)(abstract\s+|final\s+)*class\s+(\w+)(?:\s+extends\s+\\?([\w\\]+))?[^{]*\{", re.M | re.I)
 METHOD = re.compile(r"function\s+(\w+)\s*\([^)]*\)[^{;]*\{", re.I)
 RELATION = re.compile(r"""["'](\w+)["']\s*\]?\s*=>?\s*(?:array\s*\(|\[)\s*(?:self|static|CActiveRecord)::(BELONGS_TO|HAS_ONE|HAS_MANY|MANY_MANY|STAT)\s*,""")
 ANY_RELATION = re.compile(r"(?:self|static|CActiveRecord)::(?:BELONGS_TO|HAS_ONE|HAS_MANY|MANY_MANY|STAT)\b")
