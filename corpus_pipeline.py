@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seamline.llm import bpe, decontaminate, lines, queries, simhash, toxicity
+from seamline.llm import bpe, decontaminate, lines, nearcopies, queries, toxicity
 from seamline.shared import stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Bits in which the fingerprints of near copies may differ: of texts with 0.8 of their five-word shingles in common, four fifths are within 7 bits and more are reached over others.
+#: Bits in which fingerprints that the BK-trees name as candidates may differ; MinHash bands name the candidates beyond, and shingle sets decide.
 RADIUS = 7
 #: Ids to drop up to this many are sent to every task, and the texts stay where they are; beyond it they are joined.
 BROADCAST_IDS = 500_000
@@ -27,11 +27,11 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the least id; of repeated rows of an id and text, one.
+    """Of each component of near copies (five-word Jaccard of 0.8 or more, verified) the document with the least id; of repeated rows of an id and text, one.
 
     A document without an id stays unless all documents without one have copies with an id.
     """
-    found = stage(simhash.near_duplicates(docs, radius=RADIUS), "near-copies")
+    found = stage(nearcopies.near_copies(docs, radius=RADIUS), "near-copies")
     ids = found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count(F.lit(1)).alias("n"))
     gone = stage(ids.where(~F.col("stays")).select("doc_id"), "copies-to-drop")
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS

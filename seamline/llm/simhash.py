@@ -15,18 +15,31 @@ from seamline.shared import stage
 MASK = (1 << 64) - 1
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The 64-bit SimHash of a text's word shingles, as an unsigned integer; 0 for null and for texts without words."""
+def shingle_hashes(text: str | None, width: int):
+    """A 64-bit hash of each of a text's word shingles, in order; none for null and for texts without words."""
     import numpy as np
     from xxhash import xxh64_intdigest as h
 
     words = (text or "").encode().lower().split()  # bytes: lower() and split() know ASCII alone
     if not words:
-        return 0
+        return np.array([], dtype="<u8")
     plain, k = b" ".join(words), min(width, len(words))
     ends = list(accumulate(map(len, words), lambda a, b: a + b + 1))
     starts = [0, *[e + 1 for e in ends[:-1]]]
-    hashes = np.array([h(plain[a:b], 42) for a, b in zip(starts, ends[k - 1 :], strict=False)], dtype="<u8")
+    return np.array([h(plain[a:b], 42) for a, b in zip(starts, ends[k - 1 :], strict=False)], dtype="<u8")
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The 64-bit SimHash of a text's word shingles, as an unsigned integer; 0 for null and for texts without words."""
+    return print_of(shingle_hashes(text, width))
+
+
+def print_of(hashes) -> int:
+    """The SimHash of hashes; 0 for none."""
+    import numpy as np
+
+    if not len(hashes):
+        return 0
     count = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 65536):
         part = hashes[i : i + 65536]
