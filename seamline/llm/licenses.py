@@ -9,12 +9,12 @@ from seamline.llm.arrow import lower_ascii
 # Identifiers of known licence sentences, normalised (a-z and 0-9, single spaces).
 SENTENCES = {
     "mit_ref": ["released under the mit license", "licensed under the mit license", "this project is licensed under the mit license"],
-    "mit_grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"],
+    "mit_grant": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"],
     "mit_notice": ["the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
-    "as_is": ["the software is provided as is without warranty of any kind express or implied"],
+    "as_is": ["the software is provided as is without warranty of any kind express or implied", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"],
     "apache_ref": ["licensed under the apache license version 2 0", "released under the apache license version 2 0", "licensed under the apache license version 2 0 the license"],
     "apache_comply": ["you may not use this file except in compliance with the license"],
-    "apache_basis": ["unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"],
+    "apache_basis": ["unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", *[f"you may obtain a copy of the license at {x} www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied" for x in ("http", "https")]],
     "gpl3_ref": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3"],
     "gpl_later": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"],
     "gpl_warranty": ["this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
@@ -46,15 +46,23 @@ def recognise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     """(id, n_sentences, sentence_ids, licenses, license): a row for each row of docs.
 
     A sentence ends at a line's end, or at . ! or ? before white space; it is compared in a-z and 0-9 with single
-    spaces, whole. sentence_ids: identifiers of the known ones in order, comma-joined; licenses: every rule's licence
+    spaces, whole. Lines up to . ! ?, a line without letters and digits or one of a copyright's year or sign are also
+    joined, and compared whole and cut at : and ; too; what names most identifiers counts, the single lines at a tie.
+    n_sentences counts single lines. sentence_ids: identifiers of the known ones in order, comma-joined; licenses: every rule's licence
     whose identifiers follow one another there, in rule order, once each; license: the first, else null. Null counts as
     empty and has no sentences. A projection of built-in functions: no shuffle, and its tables are constants.
     """
     rules, sentences = RULES if rules is None else rules, SENTENCES if sentences is None else sentences
-    lines = F.split(F.regexp_replace(lower_ascii(F.coalesce(text_col, F.lit(""))), "([.!?])[ \\t\\n\\r\\f]+", "$1\n"), "\n")
-    normal = F.filter(F.transform(lines, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))), lambda s: s != "")
+    text = F.regexp_replace(lower_ascii(F.coalesce(text_col, F.lit(""))), "(?m)^([^a-z0-9\\n]*copyright (?:\\(c\\)|©|[0-9])[^\\n]*)\\n", "$1\u0001")
+    text = F.regexp_replace(text, "([.!?])[ \\t\\n\\r\\f]+", "$1\u0001")
+    marked = F.regexp_replace(text, "\\n(?:[^a-z0-9\\n\\x01]*\\n)+", "\u0001")
     ident = F.create_map(*[F.lit(x) for name, texts in sentences.items() for t in texts for x in (t, name)])
-    named = docs.select(F.col(id_col), normal.alias("s")).select(id_col, F.size("s").cast("long").alias("n_sentences"), F.filter(F.transform("s", lambda s: F.try_element_at(ident, s)), lambda s: s.isNotNull()).alias("ids"))
+    clean = lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
+    known = lambda parts: F.filter(F.transform(parts, lambda s: F.try_element_at(ident, clean(s))), lambda s: s.isNotNull())
+    most = lambda x, y: F.when(F.size(x) >= F.size(y), x).otherwise(y)
+    joined = lambda s: most(most(known(F.split(s, "\n")), known(F.array(s))), most(known(F.split(s, "[:;][ \\t\\n\\r\\f]+")), known(F.split(s, "\n|[:;][ \\t\\r\\f]+"))))
+    normal = F.filter(F.transform(F.split(text, "[\\n\\x01]"), clean), lambda s: s != "")
+    named = docs.select(F.col(id_col), F.size(normal).cast("long").alias("n_sentences"), F.flatten(F.transform(F.split(marked, "\\x01"), joined)).alias("ids"))
     chain = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))
     hits = [F.when(F.contains(chain, F.lit("," + ",".join(seq) + ",")), F.lit(name)) for name, seq in rules]
     found = named.withColumn("hits", F.array_distinct(F.array_compact(F.array(*hits))))
