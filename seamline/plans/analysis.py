@@ -129,13 +129,14 @@ def communities(a: Analysis) -> DataFrame:
     return a.units.join(g, "unit").select(F.col("node").alias("table"), F.concat(F.lit("g"), F.col("community")).alias("community"))
 
 
-def compare_views(data: Dataset, scope: DataFrame, hub: int | None = None) -> dict[str, DataFrame]:
+def compare_views(data: Dataset, scope: DataFrame, hub: int | None = None, use_observed: bool = False) -> dict[str, DataFrame]:
     """The three views under the combined view's hubs, threshold and groups: edge classes, coverage, coverage by the combined communities, and the agreement of the communities of each two views.
 
-    Tables without a community on one side are singletons there; ari_connected leaves them out.
+    Suspects count in all views but the physical one, transactions in all; use_observed weighs by observed pairs. Tables
+    without a community on one side are singletons there; ari_connected leaves them out.
     """
-    common = analyze(data, hub)
-    views = {v: analyze(Dataset(data.tables, rel.project(data.relations, v), data.cross if v != "logical" else None), fixed=common.conditions) for v in VIEWS}
+    common = analyze(data, hub, use_observed=use_observed)
+    views = {v: analyze(Dataset(data.tables, rel.project(data.relations, v), data.cross if v != "logical" else None, data.suspects if v != "physical" else None, data.tx_tables), fixed=common.conditions, use_observed=use_observed) for v in VIEWS}
     of = {v: stage(communities(a), "communities") for v, a in views.items()}
     observed = cooc.observed(cooc.pairs(data.tx_tables)) if data.tx_tables is not None else common.core.select("a", "b", F.lit(0).alias("count"), F.lit(0.0).alias("npmi")).limit(0)
     diff = compare.diff_edges(data.relations, scope, observed, common.hubs)
