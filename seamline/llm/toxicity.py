@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -11,19 +10,27 @@ from seamline.llm.arrow import append
 from seamline.llm.decontaminate import words_of
 from seamline.llm.sample import bounded_sample
 
-#: Words of a window and from one window's start to the next; windows overlap by the difference.
-WINDOW, STRIDE = 32, 24
-#: Labelled rows the network is fitted on, chosen by hash of their id, and words of one such text used (its first windows): the bound on what reaches the driver.
-TRAIN_ROWS, TRAIN_WORDS = 4000, 4096
-#: Sizes: state of one direction, word and character parts of an input, words and leading character n-grams with an embedding of their own, bytes of the longest n-gram.
-HIDDEN, WORD_DIM, CHAR_DIM, VOCABULARY, GRAMS, LONGEST = 8, 8, 8, 4096, 1 << 14, 10
+#: Words of a window and from one window's start to the next: any passage of up to STRIDE + 1 words is whole in some window.
+WINDOW, STRIDE = 32, 16
+#: Labelled rows the network is fitted on, chosen by hash of their id: the bound on what reaches the driver. Their texts are whole.
+TRAIN_ROWS = 4000
+#: Sizes: state of one direction, word and character parts of an input, words and character n-grams with an embedding of their own.
+HIDDEN, WORD_DIM, CHAR_DIM, VOCABULARY, GRAMS = 8, 8, 8, 4096, 1 << 14
+#: Bytes of the n-grams at a word's start (its mark counts), and of those further in.
+STARTS, INNER = (3, 11), (3, 5)
+#: Training: steps, windows of each label in a batch, steps from one choice of windows to the next, the standard errors by which log-odds are drawn to zero, the embeddings' share of the rate.
+STEPS, BATCH, EVERY, SHRINK, SLOW = 300, 32, 60, 1.5, 0.1
 REMEMBERED = 200_000
+#: Windows in one matrix product: few enough that the library does not split it over threads.
+CHUNK = 1024
 THRESHOLD = 0.7
 
 
-def starts_of(word: bytes) -> list[bytes]:
-    """A word's leading character n-grams, the longest first."""
-    return [word[:n] for n in range(min(len(word), LONGEST), 1, -1)]
+def grams_of(word: bytes) -> list[bytes]:
+    """All of a word's character n-grams, in bytes: those of its start with a mark in front."""
+    marked = b"^" + word
+    out = [marked[:n] for n in range(STARTS[0], min(len(marked), STARTS[1]) + 1)]
+    return out + [word[i : i + n] for i in range(1, len(word)) for n in range(INNER[0], INNER[1] + 1) if i + n <= len(word)]
 
 
 def window_starts(n: int) -> range:
@@ -34,7 +41,7 @@ def window_starts(n: int) -> range:
 def _sigmoid(x):
     import numpy as np
 
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * (1 + np.tanh(0.5 * x))
 
 
 class Network:
@@ -45,32 +52,57 @@ class Network:
 
         rng, h, x = np.random.default_rng(seed), HIDDEN, WORD_DIM + CHAR_DIM
         self.index = {w: i + 1 for i, w in enumerate(vocabulary)}  # 0: any other word
-        self.grams = {g: i + 1 for i, g in enumerate(grams)}  # 0: no known start
+        self.grams = {g: i + 1 for i, g in enumerate(grams)}  # 0: no known n-gram
         init = lambda *s, scale: (rng.standard_normal(s) * scale).astype(np.float32)
-        self.p = {"word": np.zeros((len(vocabulary) + 1, WORD_DIM), np.float32), "char": np.zeros((len(self.grams) + 1, CHAR_DIM), np.float32), "att": init(2 * h, scale=0.3), "out": init(2 * h, scale=0.3), "bias": np.full(1, -2, np.float32)}
+        self.p = {
+            "word": init(len(vocabulary) + 1, WORD_DIM, scale=0.01), "char": init(len(self.grams) + 1, CHAR_DIM, scale=0.01),
+            "att": init(2 * h, scale=0.3), "out": init(2 * h, scale=0.3), "bias": np.full(1, -1, np.float32),
+        }
         for d in "fb":
             self.p |= {f"in_{d}": init(x, 3 * h, scale=x**-0.5), f"rec_{d}": init(h, 3 * h, scale=h**-0.5), f"b_{d}": np.zeros(3 * h, np.float32)}
 
-    def places(self, words: list[bytes]) -> tuple[list[int], list[int]]:
-        """Rows of the word embedding, and of the character embedding: that of the longest known start of each word."""
-        grams = self.grams
-        return [self.index.get(w, 0) for w in words], [next((k for g in starts_of(w) if (k := grams.get(g))), 0) for w in words]
+    def slots(self, words: list[bytes]):
+        """(rows of the word embedding, rows of the n-gram embedding of all words in a row, where each word's begin).
 
-    def inputs(self, words: list[bytes]):
-        """A word's own embedding beside that of its leading characters."""
+        A word's n-grams are the longest known one at each place; a word without any has the row 0.
+        """
         import numpy as np
 
-        own, start = self.places(words)
-        return np.concatenate([self.p["word"][np.array(own, np.int64)], self.p["char"][np.array(start, np.int64)]], axis=1)
+        known, flat, offsets = self.grams.get, [], []
+        for w in words:
+            offsets.append(len(flat))
+            marked, found = b"^" + w, {}
+            for n in range(min(len(marked), STARTS[1]), STARTS[0] - 1, -1):
+                if k := known(marked[:n]):
+                    found[k] = None
+                    break
+            for i in range(1, len(w) - INNER[0] + 1):
+                for n in range(min(len(w) - i, INNER[1]), INNER[0] - 1, -1):
+                    if k := known(w[i : i + n]):
+                        found[k] = None
+                        break
+            flat += found or (0,)
+        return np.array([self.index.get(w, 0) for w in words], np.int64), np.array(flat, np.int64), np.array(offsets, np.int64)
+
+    def inputs(self, slots):
+        """A word's own embedding beside the greatest of its n-grams' in each dimension: a convolution over its characters with max pooling, the filters' answers being looked up."""
+        import numpy as np
+
+        own, flat, offsets = slots
+        if not len(own):
+            return np.zeros((0, WORD_DIM + CHAR_DIM), np.float32)
+        return np.concatenate([self.p["word"][own], np.maximum.reduceat(self.p["char"][flat], offsets)], axis=1)
 
     def gates(self, x):
         """What the inputs add to the gates of both directions: all of a word's part that does not depend on its place."""
         import numpy as np
 
-        return np.concatenate([x @ self.p["in_f"] + self.p["b_f"], x @ self.p["in_b"] + self.p["b_b"]], axis=1)
+        w = np.concatenate([self.p["in_f"], self.p["in_b"]], axis=1)
+        b = np.concatenate([self.p["b_f"], self.p["b_b"]])
+        return np.concatenate([x[i : i + CHUNK // 4] @ w + b for i in range(0, max(1, len(x)), CHUNK // 4)])
 
     def forward(self, table, ids, lengths, tape: bool = False):
-        """Logits of windows: ids (windows, WINDOW) are rows of table; places from a window's length on are padding, left out of states and attention."""
+        """Logits of windows: ids (windows, places) are rows of table; places from a window's length on are padding, left out of states and attention."""
         import numpy as np
 
         n, t, h = *ids.shape, HIDDEN
@@ -100,12 +132,24 @@ class Network:
         logit = pooled @ self.p["out"] + self.p["bias"]
         return (logit, states, w, pooled, kept) if tape else logit
 
-    def gradients(self, words: list[bytes], ids, lengths, target):
-        """Gradients of the mean cross-entropy of windows; ids are positions in words."""
+    def logits(self, table, ids, lengths):
+        """Logits of any number of windows, those of like length together."""
+        import numpy as np
+
+        out = np.zeros(len(ids), np.float32)
+        order = np.argsort(lengths, kind="stable")
+        for i in range(0, len(order), CHUNK):
+            part = order[i : i + CHUNK]
+            out[part] = self.forward(table, ids[part, : max(1, int(lengths[part].max()))], lengths[part])
+        return out
+
+    def gradients(self, slots, ids, lengths, target):
+        """Gradients of the mean cross-entropy of windows; ids are places in slots."""
         import numpy as np
 
         p, h, n = self.p, HIDDEN, len(ids)
-        x = self.inputs(words)
+        own, flat, offsets = slots
+        x = self.inputs(slots)
         table = self.gates(x)
         logit, states, w, pooled, kept = self.forward(table, ids, lengths, tape=True)
         grad = {k: np.zeros_like(v) for k, v in p.items()}
@@ -135,94 +179,105 @@ class Network:
             part = dtable[:, 3 * h * d : 3 * h * (d + 1)]
             grad[f"in_{name}"], grad[f"b_{name}"] = x.T @ part, part.sum(axis=0)
             dx += part @ p[f"in_{name}"].T
-        own, start = self.places(words)
         np.add.at(grad["word"], own, dx[:, :WORD_DIM])
-        np.add.at(grad["char"], start, dx[:, WORD_DIM:])
+        times = np.diff(np.append(offsets, len(flat)))
+        chosen = p["char"][flat] == np.repeat(x[:, WORD_DIM:], times, axis=0)  # the n-gram that was the greatest takes the gradient
+        np.add.at(grad["char"], flat, chosen * np.repeat(dx[:, WORD_DIM:], times, axis=0))
         return grad
 
 
-def _indexed(docs: list[list[bytes]]):
-    """The distinct words of texts, and their windows as positions in them: (words, ids, lengths, the text of each window)."""
-    import numpy as np
+class Texts:
+    """Texts as word numbers: the distinct words, and all windows of all texts."""
 
-    place: dict[bytes, int] = {}
-    rows, lengths, owner = [], [], []
-    for k, words in enumerate(docs):
-        at = [place.setdefault(w, len(place)) for w in words]
-        for s in window_starts(len(at)):
-            part = at[s : s + WINDOW]
-            rows.append(part + [0] * (WINDOW - len(part)))
-            lengths.append(len(part))
-            owner.append(k)
-    return list(place), np.array(rows, np.int64).reshape(-1, WINDOW), np.array(lengths), np.array(owner)
+    def __init__(self, docs: list[list[bytes]]) -> None:
+        import numpy as np
+
+        place: dict[bytes, int] = {}
+        rows, lengths, owner, self.sets = [], [], [], []
+        for k, words in enumerate(docs):
+            at = np.array([place.setdefault(w, len(place)) for w in words], np.int32)
+            self.sets.append(np.unique(at))
+            for s in window_starts(len(at)):
+                part = at[s : s + WINDOW]
+                rows.append(np.pad(part, (0, WINDOW - len(part))))
+                lengths.append(len(part))
+                owner.append(k)
+        self.words = list(place)
+        self.ids = np.array(rows, np.int32).reshape(-1, WINDOW)
+        self.lengths, self.owner = np.array(lengths, np.int64), np.array(owner, np.int64)
 
 
-def train(texts: list[list[bytes]], labels: list[int], steps: int = 900, batch: int = 48, rate: float = 0.02, decay: float = 0.01, seed: int = 7) -> Network:
-    """Fit on texts with 0/1 labels by Adam with decayed weights. A text's highest window stands for it, as in scoring; each batch is half of either label, and the output's bias is moved to the labels' share at the end.
+def log_odds(texts: Texts, labels, units_of: Callable[[bytes], list[bytes]], most: int) -> dict[bytes, float]:
+    """{unit: log-odds of the labels of the texts that hold it}, drawn to zero by SHRINK standard errors; at most most units, the farthest from zero first.
 
-    The embeddings of words and n-grams start from the log-odds of the labels of the texts that hold them. For the first third of the
-    steps, while the network's own order of windows means nothing, the window of the highest such word stands for a text.
+    Units in under a 500th of the texts, or under three, are left out, and so are those that come to zero.
+    """
+    import numpy as np
 
-    A fifth of the texts is set apart; of every 20th step's weights, those with the least loss on it are kept, as
-    labels hold noise that more steps would learn by heart. Words and n-grams in under a 200th of the texts,
-    or under four, have no embedding of their own.
+    unit: dict[bytes, int] = {}
+    flat, offsets = [], [0]
+    for w in texts.words:
+        flat += [unit.setdefault(u, len(unit)) for u in dict.fromkeys(units_of(w))]
+        offsets.append(len(flat))
+    flat, offsets = np.array(flat, np.int64), np.array(offsets, np.int64)
+    df = np.zeros((2, len(unit)))
+    for at, y in zip(texts.sets, labels, strict=True):
+        n = offsets[at + 1] - offsets[at]
+        places = np.repeat(offsets[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        df[y][np.unique(flat[places])] += 1
+    n = [(labels == y).sum() + 1 for y in (0, 1)]
+    raw = np.log((df[1] + 0.5) / n[1]) - np.log((df[0] + 0.5) / n[0])
+    value = np.sign(raw) * np.maximum(0, np.abs(raw) - SHRINK * np.sqrt(1 / (df[1] + 0.5) + 1 / (df[0] + 0.5)))
+    both, names = df.sum(axis=0), list(unit)
+    kept = [int(i) for i in np.flatnonzero((both >= max(3, len(texts.sets) // 500)) & (value != 0))]
+    kept.sort(key=lambda i: (-abs(value[i]), -both[i], names[i]))
+    return {names[i]: float(value[i]) for i in kept[:most]}
+
+
+def train(texts: list[list[bytes]], labels: list[int], steps: int = STEPS, rate: float = 0.02, decay: float = 0.01, seed: int = 7) -> Network:
+    """Fit on texts with 0/1 labels by Adam with decayed weights; without texts of both labels the network stays as it begins.
+
+    The first dimension of the embeddings starts from log-odds(). They learn at a tenth of the rate, or a few hundred
+    labels would be learnt by heart. A text's highest window stands for it, as in scoring, at first by the greatest sum of
+    log-odds and after each EVERY steps by the network. Half of a batch is of texts labelled 1; of those labelled 0,
+    half are their highest windows and half any. The weights are the mean of the last third of the steps. No text is set apart: nothing is chosen by its labels' loss.
     """
     import numpy as np
 
-    rng = np.random.default_rng(seed)
-    share = sum(labels) / max(1, len(labels))
-    least = max(4, len(texts) // 200)
-
-    def units(of: Callable[[set[bytes]], set[bytes]], most: int) -> dict[bytes, float]:
-        df, hot = Counter(), Counter()
-        for t, y in zip(texts, labels, strict=True):
-            u = of(set(t))
-            df.update(u)
-            hot.update(u if y else ())
-        kept = [w for w, n in sorted(df.items(), key=lambda x: (-x[1], x[0]))[:most] if n >= least]
-        return {w: float(np.log((hot[w] + share) / (df[w] - hot[w] + 1 - share) * (1 - share) / share)) if 0 < share < 1 else 0.0 for w in kept}
-
-    odds = units(lambda t: t, VOCABULARY)
-    heads = units(lambda t: {g for w in t for g in starts_of(w)}, GRAMS)
-    net = Network(list(odds), list(heads), seed)
-    net.p["word"][1:, 0] = np.array(list(odds.values()), np.float32) / 4
-    net.p["char"][1:, 0] = np.array(list(heads.values()), np.float32) / 4
-    apart = set(rng.permutation(len(texts))[: len(texts) // 5].tolist())
-    sides = [[i for i, y in enumerate(labels) if y == k and i not in apart] for k in (0, 1)]
-    if not all(sides):
+    rng, held, y = np.random.default_rng(seed), Texts(texts), np.array(labels, np.int64)
+    words, grams = log_odds(held, y, lambda w: [w], VOCABULARY), log_odds(held, y, grams_of, GRAMS)
+    net = Network(list(words), list(grams), seed)
+    net.p["word"][1:, 0] = np.array(list(words.values()), np.float32) / 2
+    net.p["char"][1:, 0] = np.array(list(grams.values()), np.float32) / 2
+    of = [np.flatnonzero(y[held.owner] == k) for k in (0, 1)]
+    if not all(map(len, of)):
         return net
-    test = sorted(apart)
-    truth = np.array([labels[i] for i in test])
-    weight = np.where(truth == 1, 0.5 / max(1, truth.sum()), 0.5 / max(1, (1 - truth).sum()))
-    kept, least_loss = None, np.inf
-    m = {k: np.zeros_like(v) for k, v in net.p.items()}
-    v = {k: np.zeros_like(x) for k, x in net.p.items()}
+    own, flat, offsets = slots = net.slots(held.words)
+    sizes = np.diff(np.append(offsets, len(flat)))
+    logit = np.where(np.arange(WINDOW) < held.lengths[:, None], net.inputs(slots)[:, [0, WORD_DIM]].sum(axis=1)[held.ids], -9).max(axis=1) if held.words else np.zeros(len(held.ids))
+    m, v, mean = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(3))
     for step in range(1, steps + 1):
-        pick = [int(i) for k in (0, 1) for i in rng.choice(sides[k], batch // 2)]
-        words, ids, lengths, owner = _indexed([texts[i] for i in pick])
-        if not words:
-            continue
-        if step <= steps // 3:
-            logit = np.where(np.arange(WINDOW) < lengths[:, None], net.inputs(words)[:, [0, WORD_DIM]].sum(axis=1)[ids], -9).max(axis=1)
-        else:
-            logit = net.forward(net.gates(net.inputs(words)), ids, lengths)
-        best = [int(np.flatnonzero(owner == k)[logit[owner == k].argmax()]) for k in range(len(pick))]
-        used = np.unique(ids[best])
-        back = np.zeros(len(words), np.int64)
-        back[used] = np.arange(len(used))
-        grad = net.gradients([words[i] for i in used], back[ids[best]], lengths[best], np.array([labels[i] for i in pick], np.float32))
-        slow = rate * min(1, 2 * (1 - step / (steps + 1)))
+        if step % EVERY == 1:
+            if step > 1:
+                logit = net.logits(net.gates(net.inputs(slots)), held.ids, held.lengths)
+            top = np.full(len(texts), -np.inf)
+            np.maximum.at(top, held.owner, logit)
+            best = [w[logit[w] == top[held.owner[w]]] for w in of]
+        pick = np.concatenate([rng.choice(best[1], BATCH), rng.choice(best[0], BATCH // 2), rng.choice(of[0], BATCH // 2)])
+        used, back = np.unique(held.ids[pick], return_inverse=True)
+        n = sizes[used] if len(own) else np.zeros(0, np.int64)
+        at = np.cumsum(n) - n
+        part = (own[used], flat[np.repeat(offsets[used] - at, n) + np.arange(n.sum())], at) if len(own) else net.slots([b""])
+        grad = net.gradients(part, back.reshape(len(pick), WINDOW), held.lengths[pick], y[held.owner[pick]].astype(np.float32))
+        slow = rate * min(1, 2 * (1 - (step - 1) / steps))
         for k, g in grad.items():
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.999 * v[k] + 0.001 * g * g
-            net.p[k] -= slow * ((m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-4) + decay * net.p[k])
-        if step % 20 == 0 and len(test):
-            p = np.clip(Scorer(net).score_words([texts[i] for i in test]), 1e-6, 1 - 1e-6)
-            loss = -(weight * np.where(truth == 1, np.log(p), np.log(1 - p))).sum()
-            if loss < least_loss:
-                kept, least_loss = {k: x.copy() for k, x in net.p.items()}, loss
-    net.p = kept or net.p
-    net.p["bias"] += np.float32(np.log(share / (1 - share)))
+            net.p[k] -= (SLOW if k in ("word", "char") else 1) * slow * ((m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-4) + decay * net.p[k])
+        if step > steps * 2 // 3:
+            for k, x in net.p.items():
+                mean[k] += x / (steps - steps * 2 // 3)
+    net.p = mean
     return net
 
 
@@ -264,7 +319,7 @@ class Scorer:
                 flat.append(at)
             sizes.append(len(words))
         if new:
-            self.table = np.concatenate([self.table, self.net.gates(self.net.inputs(new))])
+            self.table = np.concatenate([self.table, self.net.gates(self.net.inputs(self.net.slots(new)))])
         table = self.table if len(self.table) else np.zeros((1, 6 * HIDDEN), np.float32)
         flat = np.array(flat + [0] * WINDOW, np.int64)
         starts, lengths, owner, base = [], [], [], 0
@@ -274,32 +329,28 @@ class Scorer:
                 lengths.append(min(WINDOW, n - s))
                 owner.append(k)
             base += n
-        starts, lengths, owner = np.array(starts), np.array(lengths), np.array(owner)
-        order = np.argsort(lengths, kind="stable")  # windows of like length together
+        starts, lengths = np.array(starts), np.array(lengths)
         best = np.full(len(docs), -np.inf)
-        for i in range(0, len(order), 2048):
-            part = order[i : i + 2048]
-            width = max(1, int(lengths[part].max()))
-            ids = flat[starts[part][:, None] + np.arange(width)]
-            np.maximum.at(best, owner[part], self.net.forward(table, ids, lengths[part]))
+        np.maximum.at(best, np.array(owner), self.net.logits(table, flat[starts[:, None] + np.arange(WINDOW)], lengths))
         return _sigmoid(best).tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, steps: int = 900) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, steps: int = STEPS) -> Network:
     """A network fitted on the driver on the texts of at most rows labels (id, 0 or 1; others are left out), chosen by hash of their id.
 
-    The chosen labels, a bounded table, are sent to the tasks, so texts without one are read and not moved. Of several
-    labels of an id the highest counts. Without both labels the network stays as it begins.
+    The chosen labels, a bounded table, are sent to the tasks, so texts without one are read and not moved. Texts are
+    whole. Of several labels of an id the highest counts, of several texts the one of the least hash; null ids, labels
+    and texts are left out. Without both labels the network stays as it begins.
     """
     use = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     pick = bounded_sample(use, "id", rows)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(pick), "id")
 
     def words():
-        return lambda texts: ([b" ".join(words_of(t)[:TRAIN_WORDS]) for t in texts],)
+        return lambda texts: ([b" ".join(words_of(t)) for t in texts],)
 
-    got = append(texts, ["text"], [("words", T.BinaryType())], words).dropDuplicates(["id"]).select("words", "label").collect()
-    got = sorted((bytes(r["words"]), r["label"]) for r in got)
+    each = append(texts, ["text"], [("words", T.BinaryType())], words).groupBy("id").agg(F.min(F.struct(F.xxhash64("words"), "words", "label")).alias("t"))
+    got = sorted((bytes(r["words"]), r["label"]) for r in each.select("t.words", "t.label").collect())
     return train([w.split() for w, _ in got], [y for _, y in got], steps)
 
 
