@@ -6,6 +6,7 @@ import copy
 import hashlib
 import heapq
 import json
+import re
 import sys
 from array import array
 from collections import defaultdict
@@ -14,14 +15,23 @@ from pyspark.sql import DataFrame, types as T
 
 from seamline.llm.arrow import append
 
-#: The split of byte-level BPE before the merges (fixed value of the published format).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Characters (hexadecimal, first or first-last) that Unicode has made letters or numbers since version 16, which the library's tables stop at; there they are neither.
+NEWER = """558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F
+12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96
+1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"""
+#: What the split and the merges here rest on; a file that asks for anything else is refused.
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 #: Characters of texts whose unseen words are encoded together, about: bounds the pair lists.
 BATCH_CHARS = 1_500_000
 #: Words a task remembers before it forgets them all: bounds memory, has no effect on results.
 REMEMBERED = 300_000
 
 
+def split_pattern(letter: str = r"\p{L}", number: str = r"\p{N}") -> str:
+    """The split of byte-level BPE before the merges (fixed value of the published format)."""
+    return rf"""'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?[^\s{letter}{number}]+|\s+(?!\S)|\s+"""
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in the vocabulary: itself where printable in Latin-1, else the next free one from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -38,6 +48,7 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self._check(spec)
         model, symbols = spec["model"], byte_symbols()
         back = {c: b for b, c in enumerate(symbols)}
         self.vocab: dict[str, int] = model["vocab"]
@@ -50,9 +61,24 @@ class Encoder:
         self.bytes_of = {i: bytes(back[c] for c in s) for s, i in self.vocab.items()} | {i: s.encode() for s, i in added.items()}
         self.added = {s: array("I", [i]).tobytes() for s, i in added.items()}
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.find = regex.compile(PATTERN).findall
+        newer = "".join("-".join(f"\\U{x:0>8}" for x in r.split("-")) for r in NEWER.split())
+        self.maybe, self.newer = re.compile("[\u0558-\U0003fc3f]").search, regex.compile(f"[{newer}]").search
+        self.usual = regex.compile(split_pattern()).findall
+        self.careful = regex.compile(split_pattern(rf"[\p{{L}}--[{newer}]]", rf"[\p{{N}}--[{newer}]]"), regex.V1).findall
         self.known: dict[str, bytes] = {}
 
+    @staticmethod
+    def _check(spec: dict) -> None:
+        split = spec.get("pre_tokenizer") or {}
+        plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and spec.get("normalizer") is None and (spec.get("decoder") or {}).get("type") == "ByteLevel"
+        odd = [t["content"] for t in spec.get("added_tokens", []) if any(t.get(k) for k in ("lstrip", "rstrip", "single_word", "normalized"))]
+        if not plain or odd or any(spec["model"].get(k, v) != v for k, v in MODEL.items()):
+            raise ValueError(f"only a plain byte-level BPE file can be read; added tokens with options: {odd}")
+
+    def find(self, text: str) -> list[str]:
+        """The words of a text without added tokens."""
+        return (self.careful if self.maybe(text) and self.newer(text) else self.usual)(text)
+
     def learn(self, words: set[str]) -> None:
         """Encode the words together. Every pair has the list of all its positions; pairs are merged in ascending rank, and a merge changes the lists of the pairs beside it."""
         first, merge = self.first, self.merge
