@@ -13,15 +13,20 @@ from seamline.llm.arrow import append
 from seamline.llm.sample import bounded_sample
 from seamline.shared import stage
 
+#: Runs of letters and other numerals than digits; the numerals are taken out after.
 WORD = re.compile(r"[^\W\d_]+")
-#: Labelled rows the model is fitted on, chosen by hash of their id: the bound on what reaches the driver.
-TRAIN_ROWS = 4000
+#: Labelled rows the model is fitted on, chosen by hashes, and units (words and n-grams, by language) that the driver takes, the most frequent: together the bound on what reaches the driver.
+TRAIN_ROWS, UNITS = 4000, 400_000
 ORDERS = (5, 4, 3, 2, 1)
 REMEMBERED = 400_000
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    """Lower-cased runs of letters (the categories L); null has none."""
+    found = WORD.findall((text or "").lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -29,11 +34,11 @@ def grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, min_count: int = 3) -> dict:
+def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, min_count: int = 3, units_bound: int = UNITS) -> dict:
     """Counts of words and n-grams by language, from at most rows labelled texts chosen by hash of their id.
 
-    Units seen under min_count times in the sample are left to the backoff, except single characters. Counted on the
-    executors; the driver gets the counts. No labelled rows give a model without languages.
+    Units seen under min_count times in the sample are left to the backoff, except single characters, and so are those
+    past the units_bound most frequent. Counted on the executors; the driver gets the counts. No labelled rows give a model without languages.
     """
     labelled = train.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     sample = bounded_sample(labelled, "id", rows).where(F.col("text").isNotNull()).select("text", "lang")
@@ -51,7 +56,8 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "n", "unit", "k"])
 
     counted = stage(sample.repartition(8).mapInArrow(run, "lang string, n int, unit string, k long").groupBy("n", "unit", "lang").agg(F.sum("k").alias("k")), "language-counts")
-    known = counted.where((F.col("k") >= min_count) | (F.col("n") == 1))
+    often = counted.where((F.col("k") >= min_count) | (F.col("n") == 1))
+    known = often if often.count() <= units_bound else often.orderBy(F.desc("k"), "n", "unit", "lang").limit(units_bound)
     units: dict[int, dict[str, dict[str, int]]] = {n: defaultdict(dict) for n in (0, *ORDERS)}
     totals: Counter = Counter({(r["lang"], r["n"]): r["k"] for r in counted.groupBy("lang", "n").agg(F.sum("k").alias("k")).collect()})
     langs = sorted({lang for lang, _ in totals})
