@@ -44,8 +44,8 @@ def mixed_spans(text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.LongType()), T.StructField("hash", T.BinaryType())]))
 
 
-def candidates(docs: DataFrame, text_col: str = "text", out: str = "spans") -> DataFrame:
-    """docs with the spans of all candidates; a value is known by its SHA-256 alone from here on."""
+def candidates(docs: DataFrame, text_col: str = "text", out: str = "spans", copy: str = "copy") -> DataFrame:
+    """docs with the spans of all candidates, and the text's digest where it has any; a value is known by its SHA-256 alone from here on."""
 
     def make():
         def one(text):
@@ -53,9 +53,13 @@ def candidates(docs: DataFrame, text_col: str = "text", out: str = "spans") -> D
             base = base_spans(text)
             return [{"start": s, "kind": k, "end": e, "hash": hashlib.sha256(v.encode()).digest()} for s, k, e, v in sorted(base + mixed_spans(text, base))]
 
-        return lambda texts: ([one(t) for t in texts],)
+        def fn(texts):
+            spans = [one(t) for t in texts]
+            return spans, [hashlib.md5(t.encode()).hexdigest() if s else None for t, s in zip(texts, spans, strict=True)]
 
-    return append(docs, [text_col], [(out, SPAN)], make)
+        return fn
+
+    return append(docs, [text_col], [(out, SPAN), (copy, T.StringType())], make)
 
 
 def ownership(spans: DataFrame, repo_col: str = "repo", owner_col: str = "owner", max_owners: int = 1, max_repos: int = 20) -> DataFrame:
@@ -70,16 +74,18 @@ def ownership(spans: DataFrame, repo_col: str = "repo", owner_col: str = "owner"
     return repos.join(owners, "hash").withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = 1, max_repos: int = 20) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None, owner_col: str = "source", max_owners: int = 1, max_repos: int = 20) -> DataFrame:
     """(id, spans): for each row of docs its spans (start, kind, end, hash, n_repos, n_owners, live), by start and kind.
 
+    repo_col: where the repository is named; None: each distinct text is one, so exact copies within an owner count once.
+
     Base spans all stay; a mixed string is a span only where its ownership is that of a live credential, so widely
     copied examples add none. Only the candidates are shuffled, never the texts. Null counts as empty; repeated rows
     are scanned each, but a repository and an owner count once.
     """
-    use = docs.select(F.col(id_col).alias("id"), F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.col(text_col).alias("text"))
+    use = docs.select(F.col(id_col).alias("id"), (F.col(repo_col).cast("string") if repo_col else F.lit(None).cast("string")).alias("repo"), F.col(owner_col).cast("string").alias("owner"), F.col(text_col).alias("text"))
     rows = stage(candidates(use, "text").drop("text").withColumn("rid", F.monotonically_increasing_id()), "candidates")
-    each = rows.select("rid", "repo", "owner", F.explode("spans").alias("s")).select("rid", "repo", "owner", "s.*")
+    each = rows.select("rid", F.col("repo" if repo_col else "copy").alias("repo"), "owner", F.explode("spans").alias("s")).select("rid", "repo", "owner", "s.*")
     judged = stage(ownership(each.select("hash", "repo", "owner"), max_owners=max_owners, max_repos=max_repos), "ownership")
     marked = each.join(judged, "hash").where((F.col("kind") < 3) | F.col("live"))
     lists = marked.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "hash", "n_repos", "n_owners", "live"))).alias("spans"))
