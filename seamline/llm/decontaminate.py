@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from seamline.llm.arrow import append
 
 WINDOW = 8
-#: Benchmark text, in characters, that one block of items has about; bounds what is broadcast.
-BLOCK_CHARS = 16_000_000
+#: Benchmark text, in characters, that one block of items has about: some 350,000 windows, an index of about 150 MB in the driver and in a task.
+BLOCK_CHARS = 2_000_000
 #: A-Z to a-z; ASCII that is neither letter nor digit to a space. Bytes of other characters are word characters.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
