@@ -137,9 +137,10 @@ def links(prints: DataFrame, radius: int = 3, blocks: int = 4, shard_limit: int
     hot = stage(keyed.groupBy("block", F.col("own").alias("value")).count().where(F.col("count") > shard_limit), "hot-shards")
     parts = F.coalesce(F.ceil(F.col("count") / shard_limit), F.lit(1)).cast("int")
     own = probe.join(hot, ["block", "value"], "left").select("fp", "block", "value", "home", parts.alias("parts")).withColumn("part", F.expr("cast(pmod(xxhash64(fp), parts) as int)"))
-    units = own.select("fp", "block", "value", F.explode(F.expr("""
+    first = "part" if radius < blocks else "0"  # without probes beside the home shard, the tree of a part meets its own and the later parts' queries alone
+    units = own.select("fp", "block", "value", F.explode(F.expr(f"""
         concat(
-            if(home, transform(sequence(0, parts - 1), o -> struct(part as i, o as j, true as in_tree, o = part as query)), array()),
+            if(home, transform(sequence({first}, parts - 1), o -> struct(part as i, o as j, true as in_tree, o = part as query)), array()),
             transform(filter(sequence(0, parts - 1), o -> not home or o < part), o -> struct(o as i, part as j, false as in_tree, true as query)))
     """)).alias("u")).select("fp", "block", "value", "u.*")
     dealt = units.repartition("block", "value", "i", "j").sortWithinPartitions("block", "value", "i", "j").select(F.concat_ws(",", "block", "value", "i", "j").alias("unit"), "fp", "in_tree", "query")
