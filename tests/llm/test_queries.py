@@ -7,7 +7,8 @@ import re
 import pytest
 
 import corpus_pipeline
-from seamline.llm import queries, simhash
+from seamline.llm import queries
+from tests.llm.test_nearcopies import slow_least
 from tests.llm.test_operators import slow_hits
 from tests.llm.test_simhash import slow_components, slow_print
 
@@ -74,7 +75,9 @@ def test_pipeline(spark, documents):
             assert sorted(now.columns) == sorted(docs.columns)
     tox, lines, near, clean, tokens = seen.values()
     assert set(lines) == set(tox) <= set(documents) and all(r["n_chars"] == len(r["text"]) for r in lines.values())
-    want = classes({i: simhash.fingerprint(r["text"]) for i, r in lines.items()}, corpus_pipeline.RADIUS)
+    assert all(r["text"] == documents[i] for i, r in tox.items())
+    assert set(tox) == {r["doc_id"] for r in queries.op3_toxicity(spark, SF).where("predicted = 0").collect()}
+    want = slow_least([(i, r["text"]) for i, r in lines.items()])
     assert set(near) == {i for i, least in want.items() if i == least}
     assert set(clean) == {i for i, r in near.items() if slow_hits(r["text"], bench)[2] == 0}
     assert set(tokens) == set(clean)
