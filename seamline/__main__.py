@@ -36,7 +36,7 @@ def parser() -> argparse.ArgumentParser:
     form = p.add_mutually_exclusive_group()
     for name in ("--json", "--html", "--mermaid", "--d2", "--d2-partition", "--svg", "--hub-scan", "--compare-graphs"):
         form.add_argument(name, action="store_true")
-    add("--cooc-weight", action="store_true", help="co-occurrence counts in the partition")
+    add("--cooc-weight", action=argparse.BooleanOptionalAction, default=True, help="co-occurrence counts in the partition")
     add("--show-evidence", action="store_true")
     add("--version", action="version", version=VERSION)
     return p
@@ -78,13 +78,13 @@ def load(spark: SparkSession, o: argparse.Namespace) -> tuple[analysis.Dataset,
         logical = analysis.Dataset(tree["tables"], rel.unite(declared), suspects=tree["suspects"].select("from_table", "to_table", "strong"))
     data = analysis.merge_datasets(physical, logical) if physical and logical else physical or logical
     if o.cooc:
-        data.tx_tables = cooc.read_log(files.numbered(spark, o.cooc))
+        data.tx_tables = cooc.read_log(files.log_lines(spark, o.cooc))
     if o.bundle:
         rename = rel.bundle_map(data.tables, files.bundle_rules(spark, o.bundle))
         data.relations = rel.rename_tables(data.relations, rename)
         data.tables = data.tables.join(rename.select(F.col("from_table").alias("table")), "table", "left_anti")
         if data.tx_tables is not None:
-            data.tx_tables = cooc.rename_counts(data.tx_tables, rename)
+            data.rename = rename
     yes = lambda d, c: (d.tables if d else none).select("table", F.lit(True).alias(c)).distinct()
     has = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
     scope = data.tables.join(yes(physical, "in_physical"), "table", "left").join(yes(logical, "in_logical"), "table", "left").select("table", has("in_physical"), has("in_logical"))
@@ -95,9 +95,9 @@ def run(spark: SparkSession, o: argparse.Namespace) -> tuple[str, int]:
     """The report and the exit code."""
     data, scope, tree = load(spark, o)
     if o.dump_schema:
-        files.dump_schema([r["table"] for r in data.tables.collect()], data.relations, o.dump_schema, "schema")
+        files.dump_schema([r["table"] for r in data.tables.collect()], data.relations if data.cross is None else data.relations.unionByName(data.cross), o.dump_schema, "schema", "postgres" if "postgres" in (o.dsn or "").split("//")[0] else "mysql" if o.dsn else "")
     if o.compare_graphs:
-        found = analysis.compare_views(data, scope, o.hub)
+        found = analysis.compare_views(data, scope, o.hub, o.cooc_weight)
         return sinks.text("comparison of views", found, 50), 0
     if o.graph != "combined":
         data.relations = rel.project(data.relations, o.graph)
@@ -121,14 +121,14 @@ def run(spark: SparkSession, o: argparse.Namespace) -> tuple[str, int]:
     if o.show_evidence:
         frames["evidence"] = data.relations.select("child_table", "child_columns", "parent_table", F.to_json("evidences").alias("evidences"))
     if o.churn or o.criticality:
-        churn = files.table_churn(files.churn(files.history(spark, o.churn)), tree["files"]) if o.churn else spark.createDataFrame([], "table string, churn long")
+        churn = compare.table_churn(files.churn(files.history(spark, o.churn)), tree["files"]).select("table", "churn") if o.churn else spark.createDataFrame([], "table string, churn long")
         value = files.criticality(spark, o.criticality) if o.criticality else spark.createDataFrame([], "table string, criticality double")
         frames["candidates"] = compare.rank_candidates(a.units.select("unit", F.col("node").alias("table")), a.bridges.select(F.explode(F.array("a", "b")).alias("node")).join(a.units, "node").select("unit"), churn, value)
     code = 0
     if o.baseline:
         with open(o.baseline, encoding="utf-8") as f:
             old = json.load(f)
-        before = analysis.Analysis(0, {k: spark.createDataFrame([tuple(r[c] for c in a.frames[k].columns) for r in old[k]], a.frames[k].schema) for k in ("edges", "contracts")})
+        before = analysis.Analysis(0, {k: spark.createDataFrame([tuple(r[c] for c in a.frames[k].columns) for r in old.get(k, [])], a.frames[k].schema) for k in ("pairs", "cross", "contracts")})
         frames["pairs_changed"], frames["hub_totals"], worse = analysis.regressed(before, a)
         code = REGRESSED if worse else 0
     if o.json:

@@ -24,11 +24,12 @@ def edge_class(physical: Column, logical: Column, observed: Column) -> Column:
     )
 
 
-def diff_edges(relations: DataFrame, scope: DataFrame, observed: DataFrame, hubs: DataFrame) -> DataFrame:
+def diff_edges(relations: DataFrame, scope: DataFrame, observed: DataFrame, hubs: DataFrame, log_read: bool = True) -> DataFrame:
     """(a, b, physical, logical, observed, class, count, npmi, at_hub) of every relation, and of every observed pair that no relation covers.
 
     scope: (table, in_physical, in_logical). A relation's absence from the catalog needs its child in the catalog; from
-    the declarations, both ends declared. A pair known by co-occurrence alone needs both ends on each side.
+    the declarations, both ends declared. A pair known by co-occurrence alone needs both ends on each side. Where a log was read, a
+    pair that is not in observed is absent there; without one it is unobserved.
     """
     ends = relations.select(F.col("child_table").alias("child"), F.col("parent_table").alias("parent"), has_source(True).alias("p"), has_source(False).alias("q"))
     seen = observed.select("a", "b", "count", "npmi")
@@ -39,7 +40,7 @@ def diff_edges(relations: DataFrame, scope: DataFrame, observed: DataFrame, hubs
         both = both.join(scope.select(F.col("table").alias(end), F.col("in_physical").alias(f"{end}_p"), F.col("in_logical").alias(f"{end}_q")), end, "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     in_p = F.when(F.col("only"), yes("child_p") & yes("parent_p")).otherwise(yes("child_p"))
-    out = both.select("*", presence(F.col("p"), in_p).alias("physical"), presence(F.col("q"), yes("child_q") & yes("parent_q")).alias("logical"), F.when(F.col("count").isNotNull(), "present").otherwise("unobserved").alias("observed"))
+    out = both.select("*", presence(F.col("p"), in_p).alias("physical"), presence(F.col("q"), yes("child_q") & yes("parent_q")).alias("logical"), presence(F.col("count").isNotNull(), F.lit(log_read)).alias("observed"))
     h = hubs.select(F.col("node"))
     for end in ("a", "b"):
         out = out.join(h.select(F.col("node").alias(end)).withColumn(f"{end}_hub", F.lit(True)), end, "left")
@@ -47,6 +48,7 @@ def diff_edges(relations: DataFrame, scope: DataFrame, observed: DataFrame, hubs
 
 
 def class_counts(diff: DataFrame) -> DataFrame:
+    """(at_hub, class, n) of diff_edges()'s rows."""
     return diff.groupBy("at_hub", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -100,6 +102,15 @@ def match_communities(labels: DataFrame, a: str, b: str) -> DataFrame:
     return cell.groupBy(F.lit(1).alias("all")).applyInPandas(lambda pdf: _greedy(pdf), "a string, b string, overlap long")
 
 
+def glue(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(group, kind, n, cooc_only): how many links of each kind (u, v, kind) hold the units of a group (group, unit) together; cooc_only where it has two units at least and no kind but observed pairs."""
+    at = lambda end: groups.select(F.col("unit").alias(end), F.col("group").alias(f"g{end}"))
+    inside = links.select("u", "v", "kind").distinct().join(at("u"), "u").join(at("v"), "v").where("gu = gv")
+    n = inside.groupBy(F.col("gu").alias("group"), "kind").agg(F.count(F.lit(1)).alias("n"))
+    seen = n.groupBy("group").agg(F.bool_and(F.col("kind") == "observed").alias("alone"))
+    return n.join(seen, "group").join(groups.groupBy("group").agg(F.count(F.lit(1)).alias("units")), "group").select("group", "kind", "n", (F.col("alone") & (F.col("units") >= 2)).alias("cooc_only"))
+
+
 def moves(labels: DataFrame, match: DataFrame, table: str, a: str, b: str) -> DataFrame:
     """(table, kind) of the tables that are elsewhere in b: reassigned, or isolated or unobserved on the side where they have no label. labels also has seen_a and seen_b."""
     m = match.select(F.col("a").alias("__a"), F.col("b").alias("__to"))
@@ -130,6 +141,7 @@ def baseline_diff(before: DataFrame, now: DataFrame) -> DataFrame:
 
 
 def hub_totals(contracts: DataFrame) -> DataFrame:
+    """(hub, total): relations at each hub, to and from it."""
     return contracts.groupBy("hub").agg(F.sum(F.col("to_hub") + F.col("from_hub")).alias("total"))
 
 

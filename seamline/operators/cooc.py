@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seamline.model import OBSERVED_NPMI
+from seamline.shared import stage
 
 # The line formats of the two servers' statement logs, and write statements.
-MYSQL = r"^\S+\s+(\d+)\s+(Query|Execute|Prepare|Connect|Quit|Init DB|Init|Close stmt|Statistics|Ping|Field List|Reset stmt)\b\s*(.*)$"
+MYSQL = r"^\S+\s+(\d+)\s+(Query|Execute|Prepare|Connect|Quit|Init)\b\s*(.*)$"
 POSTGRES = r"\[(\d+)\].*?(?:LOG|STATEMENT):\s+(?:statement|execute [^:]*):\s*(.*)$"
-WRITE = r"""(?i)^\s*(?:INSERT\s+(?:IGNORE\s+)?INTO|UPDATE\s+(?:IGNORE\s+)?|DELETE\s+FROM|REPLACE\s+INTO)\s*[`"']?(?:\w+[`"']?\.[`"']?)?(\w+)"""
+WRITE = r"""(?i)^\s*(?:(?:INSERT(?:\s+IGNORE)?|REPLACE)\s+INTO|UPDATE(?:\s+IGNORE)?|DELETE\s+FROM)\s+[`"]?(?:[\w$]+[`"]?\.[`"]?)?([\w$]+)"""
 
 
 def write_target(sql: Column) -> Column:
@@ -62,17 +63,23 @@ def counted(tx_tables: DataFrame) -> DataFrame:
     return tx_tables.groupBy("tx").agg(F.array_sort(F.collect_set("table")).alias("tables")).where(F.size("tables") >= 2)
 
 
-def pairs(tx_tables: DataFrame) -> DataFrame:
+def pairs(tx_tables: DataFrame, rename: DataFrame | None = None) -> DataFrame:
     """(a, b, count, n_a, n_b, total, npmi) of the pairs a < b written together.
 
-    A transaction's pairs are made from its own sorted list and summed map-side; there is no join of the transactions
-    with themselves. total is one row.
+    A transaction's pairs, its tables and itself are counted in one pass over its own sorted list, summed map-side; there
+    is no join of the transactions with themselves, and what is written and joined after has the size of a schema.
+
+    rename: (from_table, to_table) of tables counted under another's name afterwards, as a bundle does: counts of
+    pairs and of tables are added, pairs within a name go, and the total stays. A transaction that writes both a table
+    and its shadow counts twice for the name.
     """
-    tx = counted(tx_tables)
-    up = F.expr("flatten(transform(tables, (x, i) -> transform(slice(tables, i + 2, size(tables)), y -> struct(x as a, y as b))))")
-    both = tx.select(F.explode(up).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("count"))
-    single = table_counts(tx_tables)
-    total = tx.agg(F.count(F.lit(1)).alias("total"))
+    up = F.expr("""concat(flatten(transform(tables, (x, i) -> transform(slice(tables, i + 2, size(tables)), y -> struct(x as a, y as b)))),
+        transform(tables, x -> struct(x as a, cast(null as string) as b)), array(struct(cast(null as string) as a, cast(null as string) as b)))""")
+    counts = stage(counted(tx_tables).select(F.explode(up).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("count")), "pair-counts")
+    if rename is not None:
+        counts = rename_counts(counts, rename)
+    both, single = counts.where("b IS NOT NULL"), counts.where("a IS NOT NULL AND b IS NULL").select(F.col("a").alias("table"), F.col("count").alias("n"))
+    total = counts.where("a IS NULL").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"))
     out = both.join(single.select(F.col("table").alias("a"), F.col("n").alias("n_a")), "a").join(single.select(F.col("table").alias("b"), F.col("n").alias("n_b")), "b").crossJoin(F.broadcast(total))
     return out.withColumn("npmi", npmi("n_a", "n_b", "count", "total")).select("a", "b", "count", "n_a", "n_b", "total", "npmi")
 
@@ -89,6 +96,7 @@ def npmi(n_a: str, n_b: str, n_ab: str, total: str) -> Column:
 
 
 def observed(pair: DataFrame, least: float = OBSERVED_NPMI) -> DataFrame:
+    """The pairs from least NPMI on: those that count as observed."""
     return pair.where(F.col("npmi") >= least)
 
 
@@ -102,9 +110,13 @@ def contract_pairs(pair: DataFrame, groups: DataFrame) -> DataFrame:
     return out.groupBy("a", "b").agg(F.sum("count").alias("count"), F.greatest(F.max("npmi"), F.lit(0.0)).alias("npmi"))
 
 
-def rename_counts(tx_tables: DataFrame, rename: DataFrame) -> DataFrame:
-    """tx_tables with tables renamed by (from_table, to_table)."""
-    return tx_tables.join(rename, tx_tables["table"] == rename["from_table"], "left").select("tx", F.coalesce("to_table", "table").alias("table"))
+def rename_counts(counts: DataFrame, rename: DataFrame) -> DataFrame:
+    """Counts (a, b, count) under the names of (from_table, to_table): those that meet are added, pairs within a name go. A null b is the count of a alone, nulls of both the total."""
+    out = counts
+    for end in ("a", "b"):
+        out = out.join(rename.select(F.col("from_table").alias("__from"), F.col("to_table").alias("__to")), F.col(end) == F.col("__from"), "left").withColumn(end, F.coalesce("__to", end)).drop("__from", "__to")
+    a, b = F.when(F.col("b").isNull(), F.col("a")).otherwise(F.least("a", "b")), F.when(F.col("b").isNull(), F.col("b")).otherwise(F.greatest("a", "b"))
+    return out.where("b IS NULL OR a <> b").select(a.alias("a"), b.alias("b"), "count").groupBy("a", "b").agg(F.sum("count").alias("count"))
 
 
 def cooc_hubs(pair: DataFrame, edges: DataFrame, threshold: int) -> DataFrame:

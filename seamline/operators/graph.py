@@ -19,6 +19,7 @@ def bundle_edges(relations: DataFrame) -> DataFrame:
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
+    """(node): both ends of each edge, repeats included."""
     return edges.select(F.explode(F.array("a", "b")).alias("node"))
 
 

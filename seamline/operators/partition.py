@@ -19,17 +19,23 @@ def partition_graph(bridge: DataFrame, units: DataFrame, contracts: DataFrame, h
     suspects: strong ones (from_table, to_table), 1 once for each unit pair. observed: (a, b, npmi) without a relation,
     2 npmi each. A hub contract weighs 3 (to + from) / degree. Ends without a unit are skipped.
     """
+    return typed_links(bridge, units, contracts, hubs, suspects, observed).groupBy("u", "v").agg(F.sum("weight").alias("weight"))
+
+
+def typed_links(bridge: DataFrame, units: DataFrame, contracts: DataFrame, hubs: DataFrame, suspects: DataFrame | None = None, observed: DataFrame | None = None) -> DataFrame:
+    """(u, v, weight, kind) of what partition_graph() adds up: kind is relation, suspect, observed or hub_contract."""
     def ends(df, a, b, w):
         x, y = units.select(F.col("node").alias("__x"), F.col("unit").alias("u")), units.select(F.col("node").alias("__y"), F.col("unit").alias("v"))
         return df.select(F.col(a).alias("__a"), F.col(b).alias("__b"), w.alias("weight")).join(x, F.col("__a") == F.col("__x")).join(y, F.col("__b") == F.col("__y")).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "weight")
 
-    out = ends(bridge, "a", "b", F.col("weight"))
+    kind = lambda df, name: df.withColumn("kind", F.lit(name))
+    out = kind(ends(bridge, "a", "b", F.col("weight")), "relation")
     if suspects is not None:
-        out = out.unionByName(ends(suspects, "from_table", "to_table", F.lit(1.0)).distinct())
+        out = out.unionByName(kind(ends(suspects, "from_table", "to_table", F.lit(1.0)).distinct(), "suspect"))
     if observed is not None:
-        out = out.unionByName(ends(observed, "a", "b", 2 * F.col("npmi")))
+        out = out.unionByName(kind(ends(observed, "a", "b", 2 * F.col("npmi")), "observed"))
     hub = contracts.join(hubs.select(F.col("node").alias("hub"), "degree"), "hub").select(F.least("unit", "hub").alias("u"), F.greatest("unit", "hub").alias("v"), (3.0 * (F.col("to_hub") + F.col("from_hub")) / F.col("degree")).alias("weight"))
-    return out.unionByName(hub).groupBy("u", "v").agg(F.sum("weight").alias("weight"))
+    return out.unionByName(kind(hub, "hub_contract"))
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ class Dataset:
     cross: DataFrame | None = None
     suspects: DataFrame | None = None
     tx_tables: DataFrame | None = None
+    #: (from_table, to_table) of bundled tables, for the counts of transactions.
+    rename: DataFrame | None = None
 
 
 @dataclass
@@ -78,18 +80,22 @@ def analyze(data: Dataset, hub: int | None = None, fixed: Conditions | None = No
         ends = strong.select(F.least("from_table", "to_table").alias("a"), F.greatest("from_table", "to_table").alias("b"))
         raised = raised.unionByName(_folded(ends, groups))
     if data.tx_tables is not None:
-        pairs = stage(cooc.contract_pairs(cooc.pairs(data.tx_tables), groups), "pairs")
+        pairs = stage(cooc.contract_pairs(cooc.pairs(data.tx_tables, data.rename), groups), "pairs")
         raised = raised.unionByName(pairs.select("a", "b"))
         report = cooc.report(pairs, core, bridge, threshold)
         observed = report.where(~F.col("has_fk") & ~F.col("suppressed") & (F.col("npmi") >= OBSERVED_NPMI)) if use_observed else None
     leveled = graph.cut_levels(bridge, raised)
-    links = stage(partition.partition_graph(bridge, units, contracts, hubs, strong, observed), "links")
+    typed = stage(partition.typed_links(bridge, units, contracts, hubs, strong, observed), "typed-links")
+    links = stage(typed.groupBy("u", "v").agg(F.sum("weight").alias("weight")), "links")
     nodes = units.groupBy(F.col("unit").alias("node")).agg(F.count(F.lit(1)).alias("size")).withColumn("is_hub", F.lit(False)).unionByName(hubs.select("node", F.lit(0).cast("long").alias("size"), F.lit(True).alias("is_hub")))
     view = F.lit("all").alias("view")
+    levels = stage(partition.levels(links.select(view, "*"), nodes.select(view, "*")).drop("key"), "levels")
+    near = graph.near_hubs(edges, threshold)
     frames = {
         "edges": edges, "hubs": hubs, "groups": groups, "core": core, "bridges": graph.bridge_report(leveled, blocks, sizes), "blocks": blocks, "isolated": alone, "units": units, "contracts": contracts,
-        "islands": graph.islands(data.tables, blocks, alone, hubs, groups), "seams": graph.thin_seams(core, bridge), "near_hubs": graph.near_hubs(edges, threshold), "links": links,
-        "levels": stage(partition.levels(links.select(view, "*"), nodes.select(view, "*")).drop("key"), "levels"),
+        "islands": graph.islands(data.tables, blocks, alone, hubs, groups), "seams": graph.thin_seams(core, bridge), "near_hubs": near, "links": links, "levels": levels,
+        "pairs": relations.where("child_table <> parent_table").select(F.col("child_table").alias("child"), F.col("parent_table").alias("parent")).distinct(), "cross": _cross(data),
+        "glue": compare.glue(_groups(levels), typed), "warnings": _warnings(graph.degrees(edges), groups, units, levels, near, threshold),
     }
     return Analysis(threshold, frames | ({"cooc": report} if report is not None else {}))
 
@@ -102,6 +108,28 @@ def _isolated(data: Dataset, relations: DataFrame, groups: DataFrame) -> DataFra
     return alone.join(inside.join(present, "representative").select("table"), "table", "left_anti")
 
 
+def _cross(data: Dataset) -> DataFrame:
+    """(child, parent): tables and what they refer to in other schemas, as schema.table."""
+    if data.cross is None:
+        return data.tables.select(F.col("table").alias("child"), F.col("table").alias("parent")).limit(0)
+    return data.cross.select(F.col("child_table").alias("child"), F.concat_ws(".", "parent_schema", "parent_table").alias("parent")).distinct()
+
+
+def _groups(levels: DataFrame) -> DataFrame:
+    """(group, unit) of the default level."""
+    return levels.where("is_default").select(F.posexplode(F.from_json("groups", "array<array<string>>")).alias("group", "g")).select((F.col("group") + 1).alias("group"), F.explode("g").alias("unit"))
+
+
+def _warnings(degrees: DataFrame, groups: DataFrame, units: DataFrame, levels: DataFrame, near: DataFrame, threshold: int) -> DataFrame:
+    """(kind, subject, n, of): cascade groups of over a quarter of the tables with an edge, whose cascades may be a hub's cleaning rather than parts of one whole; and, where the largest group has over half of the tables, the nodes just under the hub threshold that may hold it together."""
+    all_ = degrees.agg(F.count(F.lit(1)).alias("of"))
+    large = groups.groupBy(F.col("representative").alias("subject")).agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(all_)).where("n * 4 > of").select(F.lit("cascade_bloat").alias("kind"), "subject", "n", "of")
+    sized = units.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).join(_groups(levels), "unit").groupBy("group").agg(F.sum("n").alias("n"))
+    most = sized.agg(F.max("n").alias("largest"), F.sum("n").alias("all")).where("largest * 2 > all").select(F.lit(True).alias("glued"))
+    close = near.crossJoin(F.broadcast(most)).select(F.lit("near_hub").alias("kind"), F.col("node").alias("subject"), F.col("degree").alias("n"), F.lit(threshold).cast("long").alias("of"))
+    return large.unionByName(close)
+
+
 def _folded(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     out = pairs
     for end in ("a", "b"):
@@ -130,18 +158,19 @@ def communities(a: Analysis) -> DataFrame:
 
 
 def compare_views(data: Dataset, scope: DataFrame, hub: int | None = None, use_observed: bool = False) -> dict[str, DataFrame]:
-    """The three views under the combined view's hubs, threshold and groups: edge classes, coverage, coverage by the combined communities, and the agreement of the communities of each two views.
+    """The three views under the combined view's hubs, threshold and groups: edge classes, coverage, coverage by the combined communities, and of each two views the agreement of their communities, the tables that move and the edges that one of them cuts.
 
     Suspects count in all views but the physical one, transactions in all; use_observed weighs by observed pairs. Tables
     without a community on one side are singletons there; ari_connected leaves them out.
     """
     common = analyze(data, hub, use_observed=use_observed)
-    views = {v: analyze(Dataset(data.tables, rel.project(data.relations, v), data.cross if v != "logical" else None, data.suspects if v != "physical" else None, data.tx_tables), fixed=common.conditions, use_observed=use_observed) for v in VIEWS}
+    views = {v: analyze(Dataset(data.tables, rel.project(data.relations, v), data.cross if v != "logical" else None, data.suspects if v != "physical" else None, data.tx_tables, data.rename), fixed=common.conditions, use_observed=use_observed) for v in VIEWS}
     of = {v: stage(communities(a), "communities") for v, a in views.items()}
-    observed = cooc.observed(cooc.pairs(data.tx_tables)) if data.tx_tables is not None else common.core.select("a", "b", F.lit(0).alias("count"), F.lit(0.0).alias("npmi")).limit(0)
-    diff = compare.diff_edges(data.relations, scope, observed, common.hubs)
+    observed = cooc.observed(cooc.pairs(data.tx_tables, data.rename)) if data.tx_tables is not None else common.core.select("a", "b", F.lit(0).alias("count"), F.lit(0.0).alias("npmi")).limit(0)
+    diff = compare.diff_edges(data.relations, scope, observed, common.hubs, data.tx_tables is not None)
     vertices = data.tables.join(common.hubs.select(F.col("node").alias("table")), "table", "left_anti")
-    agree = None
+    agree = moved = cut = None
+    seen = {"physical": F.col("in_physical"), "logical": F.col("in_logical"), "combined": F.col("in_physical") | F.col("in_logical")}
     for x, y in (("physical", "logical"), ("physical", "combined"), ("logical", "combined")):
         both = vertices.join(of[x].withColumnRenamed("community", "x"), "table", "left").join(of[y].withColumnRenamed("community", "y"), "table", "left")
         own = lambda c: F.coalesce(F.col(c), F.concat(F.lit("\0"), F.col("table")))
@@ -149,13 +178,18 @@ def compare_views(data: Dataset, scope: DataFrame, hub: int | None = None, use_o
         near = compare.adjusted_rand(both.where("x IS NOT NULL AND y IS NOT NULL"), "x", "y").select(F.col("n").alias("n_connected"), F.col("ari").alias("ari_connected"))
         row = whole.crossJoin(near).select(F.lit(x).alias("view_a"), F.lit(y).alias("view_b"), "n", "ari", "n_connected", "ari_connected")
         agree = row if agree is None else agree.unionByName(row)
+        sides = both.join(scope.select("table", seen[x].alias("seen_a"), seen[y].alias("seen_b")), "table", "left")
+        named = lambda df: df.select(F.lit(x).alias("view_a"), F.lit(y).alias("view_b"), "*")  # noqa: E731, B023
+        move = named(compare.moves(sides, compare.match_communities(both, "x", "y"), "table", "x", "y"))
+        edge = named(compare.cut_edges(views[x].core, views[y].core, both.select("table", F.col("x").alias("la"), F.col("y").alias("lb"))))
+        moved, cut = (move, edge) if moved is None else (moved.unionByName(move), cut.unionByName(edge))
     groups = of["combined"].select(F.col("community").alias("group"), "table")
-    return {"edge_diff": diff, "edge_classes": compare.class_counts(diff), "coverage": compare.coverage(data.relations, scope), "group_coverage": compare.group_coverage(groups, data.relations, scope), "agreement": agree}
+    return {"edge_diff": diff, "edge_classes": compare.class_counts(diff), "coverage": compare.coverage(data.relations, scope), "group_coverage": compare.group_coverage(groups, data.relations, scope), "agreement": agree, "moves": moved, "cut_edges": cut}
 
 
 def regressed(before: Analysis, now: Analysis) -> tuple[DataFrame, DataFrame, bool]:
-    """Pairs added and removed, hub totals changed, and whether any was added or any total rose."""
-    pairs = compare.baseline_diff(*[a.edges.select(F.col("a").alias("child"), F.col("b").alias("parent")) for a in (before, now)])
+    """Pairs of child and parent added and removed, those to other schemas too; hub totals changed; and whether any pair was added or any total rose."""
+    pairs = compare.baseline_diff(*[a.pairs.unionByName(a.cross) for a in (before, now)])
     totals = compare.baseline_hub_delta(compare.hub_totals(before.contracts), compare.hub_totals(now.contracts))
     return pairs, totals, not pairs.where("change = 'added'").isEmpty() or not totals.where("regressed").isEmpty()
 
@@ -174,5 +208,5 @@ def merge_datasets(physical: Dataset, logical: Dataset) -> Dataset:
             suspects = suspects.join(found.select(F.col("name").alias("__n"), F.col("table").alias("__t")), F.col(c) == F.col("__n"), "left").withColumn(c, F.coalesce("__t", c)).drop("__n", "__t")
     return Dataset(
         renamed(physical.tables, vertex).union(renamed(logical.tables, found)).distinct(),
-        merge.merge_relations(own, merge.rename_ends(logical.relations, found)), physical.cross, suspects, logical.tx_tables if physical.tx_tables is None else physical.tx_tables,
+        merge.merge_relations(own, merge.rename_ends(logical.relations, found)), physical.cross, suspects, logical.tx_tables if physical.tx_tables is None else physical.tx_tables, physical.rename,
     )

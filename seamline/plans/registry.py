@@ -234,7 +234,7 @@ u AS (SELECT a, b, p.a IS NOT NULL AS x, q.a IS NOT NULL AS y FROM p FULL JOIN q
 j AS (SELECT u.a, u.b, x, y, count, npmi, FALSE AS lone FROM u LEFT JOIN o ON u.a = o.a AND u.b = o.b UNION ALL SELECT a, b, FALSE, FALSE, count, npmi, TRUE FROM o WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.a = o.a AND u.b = o.b)),
 hb AS (SELECT node FROM (SELECT unnest([a, b]) AS node FROM p) GROUP BY 1 HAVING count(*) >= 6),
 s AS (SELECT j.*, a IN (SELECT t FROM tp) AS ap, b IN (SELECT t FROM tp) AS bp, a IN (SELECT t FROM tq) AND b IN (SELECT t FROM tq) AS inq FROM j),
-d AS (SELECT a, b, CASE WHEN x THEN 'present' WHEN CASE WHEN lone THEN ap AND bp ELSE ap END THEN 'absent' ELSE 'unobserved' END AS physical, CASE WHEN y THEN 'present' WHEN inq THEN 'absent' ELSE 'unobserved' END AS logical, CASE WHEN count IS NULL THEN 'unobserved' ELSE 'present' END AS observed, count, npmi, a IN (SELECT node FROM hb) OR b IN (SELECT node FROM hb) AS at_hub FROM s),
+d AS (SELECT a, b, CASE WHEN x THEN 'present' WHEN CASE WHEN lone THEN ap AND bp ELSE ap END THEN 'absent' ELSE 'unobserved' END AS physical, CASE WHEN y THEN 'present' WHEN inq THEN 'absent' ELSE 'unobserved' END AS logical, CASE WHEN count IS NULL THEN 'absent' ELSE 'present' END AS observed, count, npmi, a IN (SELECT node FROM hb) OR b IN (SELECT node FROM hb) AS at_hub FROM s),
 diff AS (SELECT *, CASE WHEN physical = 'present' AND logical = 'present' THEN 'both' WHEN physical = 'present' AND logical = 'absent' THEN 'physical_only' WHEN physical = 'absent' AND logical = 'present' THEN 'logical_only' WHEN physical = 'absent' AND logical = 'absent' AND observed = 'present' THEN 'observed_only' ELSE 'undetermined' END AS class FROM d) """)
 
 

@@ -14,6 +14,12 @@ def numbered(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("seq", "line")).select((F.col("seq") + 1).alias("seq"), "line")
 
 
+def log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(seq, line) of a log's lines in order, read in splits: seq is the file, where its split begins, and a number that ascends within the split. Files of a folder are in order of their names."""
+    seq = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    return spark.read.text(path).select(seq.alias("seq"), F.col("value").alias("line"))
+
+
 def schema_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """tables, relations and cross_relations of a schema dump; unknown fields are ignored, a dump without a schema name is an error."""
     dump = spark.read.schema(SCHEMA_DUMP).json(path, multiLine=True)
@@ -93,13 +99,6 @@ def churn(lines: DataFrame) -> DataFrame:
     return lines.groupBy(F.lit(1).alias("log")).applyInPandas(lambda pdf: fold(pdf), "path string, n long")
 
 
-def table_churn(paths: DataFrame, model_files: DataFrame) -> DataFrame:
-    """(table, churn): commits (path, n) of the files (file, table) that define a table. A file's path may be given from a folder further down than the log's; each logged path is expanded by its ends and joined on equality."""
-    parts = F.split("path", "/")
-    ends = paths.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))).alias("file"))
-    return ends.join(model_files.select("file", "table").distinct(), "file").groupBy("table").agg(F.sum("n").alias("churn"))
-
-
 def history(spark: SparkSession, folder: str) -> DataFrame:
     """(seq, line) of a repository's name-status log, newest first, with renames."""
     import subprocess
