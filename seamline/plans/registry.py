@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seamline.operators import compare, cooc, graph, merge, partition, relations as rel
+from seamline.operators.components import connected_components
 from seamline.functions import inflect as names, rawsql
 from seamline.plans import analysis, sinks, substrate as sub
 from seamline.sources import files, models, rails, yii
 from seamline.plans.substrate import sql
-from seamline.shared import stage
+from seamline.shared import shared_dir, stage
 
 _Q: dict[str, tuple[Callable, str | None]] = {}
 
@@ -85,7 +87,7 @@ def edge_report(spark, sf_dir):
     return graph.bundle_edges(sub.catalog(spark, sf_dir)).select("a", "b", "weight", "n_relations", "has_cascade")
 
 
-@query("SELECT * FROM (VALUES ('benchmark'), ('conversations'), ('embeddings'), ('events'), ('pages')) AS t(\"table\")")
+@query("SELECT table_name AS \"table\" FROM information_schema.tables WHERE table_schema = 'main' EXCEPT SELECT unnest([child_table, parent_table]) FROM (" + _MEASURED + ")")
 def isolated_tables(spark, sf_dir):
     return graph.isolated(sub.tables(spark), sub.catalog(spark, sf_dir))
 
@@ -217,11 +219,14 @@ def cooc_report(spark, sf_dir):
     return cooc.report(cooc.pairs(sub.order_nations(spark, sf_dir)), g.edges, g.bridges, 22).select(_pairs("a", "b", "count", "npmi", "has_fk", "is_bridge", "suppressed"))
 
 
-@query("""
+_TX = """
 WITH e AS (SELECT user_id AS thread, ts, event_id, event_type AS k, sum(CASE WHEN event_type IN ('signup', 'purchase', 'error') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS turn FROM events),
 o AS (SELECT thread, turn FROM e WHERE k = 'signup'), c AS (SELECT thread, turn - 1 AS turn FROM e WHERE k = 'purchase')
 SELECT DISTINCT e.thread || ':' || CAST(e.turn AS BIGINT) AS tx, k AS "table" FROM e JOIN o USING (thread, turn) JOIN c USING (thread, turn) WHERE k NOT IN ('signup', 'purchase', 'error')
-""")
+"""
+
+
+@query(_TX)
 def tx_sessionize(spark, sf_dir):
     return cooc.sessionise(sub.event_log(spark, sf_dir))
 
@@ -377,39 +382,44 @@ def partition_levels(spark, sf_dir):
 
 # -- names, sources and sinks --------------------------------------------------------------------------------------
 
-_WORDS = ["OrderItem", "Person", "Category", "Address", "Status", "Box", "Day", "Child"]
-_TABLES = ["order_items", "people", "categories", "addresses", "statuses", "boxes", "days", "children"]
+_PLURAL = "CASE WHEN w = 'medium' THEN 'media' WHEN regexp_matches(w, '[^aeiou]y$') THEN regexp_replace(w, 'y$', 'ies') WHEN regexp_matches(w, '(s|x|z|ch|sh)$') THEN w || 'es' ELSE w || 's' END"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{a}')" for a, b in zip(_WORDS, _TABLES, strict=True)) + ") AS t(word, tableized, back)")
+@query(f"""WITH x AS (SELECT DISTINCT p_name AS w FROM part UNION SELECT DISTINCT lower(c_mktsegment) FROM customer UNION SELECT DISTINCT lower(p_type) FROM part),
+y AS (SELECT w, array_to_string(list_transform(string_split(w, ' '), lambda p: upper(p[1]) || p[2:]), '') AS word FROM x) SELECT word, replace({_PLURAL}, ' ', '_') AS tableized, word AS back FROM y""")
 def inflect(spark, sf_dir):
-    w = spark.createDataFrame([(x,) for x in _WORDS], "word string").withColumn("tableized", names.tableize(F.col("word")))
+    part = sub.table(spark, sf_dir, "part")
+    texts = part.select(F.col("p_name").alias("w")).union(sub.table(spark, sf_dir, "customer").select(F.lower("c_mktsegment"))).union(part.select(F.lower("p_type"))).distinct()
+    w = texts.select(F.array_join(F.transform(F.split("w", " "), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 30))), "").alias("word")).withColumn("tableized", names.tableize(F.col("word")))
     return w.withColumn("back", names.classify(F.col("tableized")))
 
 
-@query("""SELECT * FROM (VALUES (1, 'order_log,orders', ''), (2, '', 'a,b'), (3, 'tbl_x', 'y')) AS t(id, written, read)""")
+@query("SELECT s_suppkey AS id, 'log_' || s_nationkey || ',tmp_' || s_suppkey AS written, 'nation_' || s_nationkey AS read FROM supplier")
 def raw_sql_tables(spark, sf_dir):
-    rows = [(1, 'q("INSERT INTO `Orders` VALUES (1)"); q("UPDATE order_log SET x = 1"); // update the docs'), (2, "SELECT * FROM a JOIN b ON 1 = 1 /* FROM c */"), (3, '$c->delete("tbl_x"); $c->from("y"); DELETE FROM tbl_x')]
-    src = spark.createDataFrame(rows, "id int, src string")
+    text = F.format_string('q("INSERT INTO `Log_%1$d` VALUES (1)"); $c->from("nation_%1$d"); // update the docs\nDELETE FROM tmp_%2$d /* FROM c */', "s_nationkey", "s_suppkey")
+    src = sub.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), text.alias("src"))
     return src.select("id", F.array_join(rawsql.written_tables(F.col("src")), ",").alias("written"), F.array_join(rawsql.read_tables(F.col("src")), ",").alias("read"))
 
 
-@query("SELECT * FROM (VALUES ('customers_version', 'customers'), ('orders_version', 'orders'), ('orders_version_version', 'orders')) AS t(from_table, to_table)")
+@query("SELECT 'item' || s_suppkey || '_version' AS from_table, 'item' || s_suppkey AS to_table FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT 'item' || s_suppkey || '_version_version', 'item' || s_suppkey FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT 'old_item' || s_suppkey, 'item' || s_suppkey FROM supplier WHERE s_suppkey % 5 = 0")
 def shadow_bundle(spark, sf_dir):
-    t = spark.createDataFrame([(x,) for x in ("customers", "customers_version", "ghost_version", "orders", "orders_version", "orders_version_version", "items")], "table string")
-    return rel.bundle_map(t, [("suffix", "_version"), ("prefix", "old_")])
+    made = [("item%d", 1), ("item%d_version", 2), ("item%d_version_version", 4), ("old_item%d", 5), ("ghost%d_version", 7)]
+    each = F.filter(F.array(*[F.when(F.col("s_suppkey") % n == 0, F.format_string(text, "s_suppkey")) for text, n in made]), lambda t: t.isNotNull())
+    return rel.bundle_map(sub.table(spark, sf_dir, "supplier").select(F.explode(each).alias("table")), [("suffix", "_version"), ("prefix", "old_")])
 
 
-@query("SELECT * FROM (VALUES ('Post', 'post'), ('comment', 'tbl_comment'), ('missing', NULL), ('user', 'tbl_user')) AS t(name, \"table\")")
+@query("SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'tbl_' ELSE '' END || lower(n_name) AS \"table\" FROM nation UNION ALL SELECT r_name, NULL FROM region")
 def name_resolve(spark, sf_dir):
-    t = spark.createDataFrame([(x,) for x in ("post", "tbl_user", "tbl_comment", "tbl_audit")], "table string")
-    n = spark.createDataFrame([(x,) for x in ("Post", "user", "comment", "missing")], "name string")
-    return merge.resolve_names(n, t, merge.infer_prefix(n, t))
+    n = sub.table(spark, sf_dir, "nation")
+    t = n.select(F.concat(F.when(F.col("n_nationkey") % 2 == 0, "tbl_").otherwise(""), F.lower("n_name")).alias("table"))
+    wanted = n.select(F.col("n_name").alias("name")).union(sub.table(spark, sf_dir, "region").select("r_name"))
+    return merge.resolve_names(wanted, t, merge.infer_prefix(wanted, t))
 
 
-@query("SELECT * FROM (VALUES ('resp_1', 'resp_*'), ('Resp_2', 'resp_*')) AS t(\"table\", vertex)")
+@query("SELECT 'resp_' || c_custkey AS \"table\", 'resp_*' AS vertex FROM customer")
 def family_bundle(spark, sf_dir):
-    t = spark.createDataFrame([(x,) for x in ("resp_1", "Resp_2", "old_resp_1_2024", "resp_log")], "table string")
+    names = F.array(F.format_string("resp_%d", "c_custkey"), F.format_string("old_resp_%d_2024", "c_custkey"), F.lit("resp_log"))
+    t = sub.table(spark, sf_dir, "customer").select(F.explode(names).alias("table")).distinct()
     return merge.families(t, spark.createDataFrame([("resp_", "")], "prefix string, suffix string"))
 
 
@@ -419,73 +429,133 @@ def contract_ddl(spark, sf_dir):
     return sinks.contract_ddl(g.bridges, g.relations)
 
 
-@query("SELECT * FROM (VALUES ('new.rb', 5), ('other.rb', 1)) AS t(path, n)")
+def _commits(spark, sf_dir) -> DataFrame:
+    """A name-status log, newest first: a commit for each customer to its nation's file, which was moved between customers 99 and 100."""
+    n = sub.table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    each = sub.table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    changed = each.select((-2 * F.col("c_custkey")).cast("long").alias("seq"), F.concat(F.when(F.col("c_custkey") >= 100, "M\tapp/models/").otherwise("M\tlib/"), "n_name", F.lit(".rb")).alias("line"))
+    return changed.unionByName(n.select(F.lit(-199).cast("long").alias("seq"), F.format_string("R100\tlib/%1$s.rb\tapp/models/%1$s.rb", "n_name").alias("line")))
+
+
+@query("SELECT 'app/models/' || n_name || '.rb' AS path, count(c_custkey) + 1 AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name")
 def churn_alias(spark, sf_dir):
-    log = ["M\tnew.rb", "M\tnew.rb", "R100\tmid.rb\tnew.rb", "M\tmid.rb", "R090\told.rb\tmid.rb", "A\tother.rb"]
-    return files.churn(spark.createDataFrame(list(enumerate(log)), "seq long, line string")).select("path", F.col("n").cast("int").alias("n"))
+    return files.churn(_commits(spark, sf_dir))
+
 
+@query("SELECT lower(n_name) AS \"table\", count(c_custkey) + 1 AS churn, CAST(1 AS BIGINT) AS files FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name UNION ALL SELECT lower(r_name), 0, 1 FROM region")
+def table_churn(spark, sf_dir):
+    own = lambda t, name: sub.table(spark, sf_dir, t).select(F.concat(F.when(F.col(f"{t[0]}_{t}key") % 2 == 0, "app/models/").otherwise("shop/app/models/"), name, F.lit(".rb")).alias("file"), F.lower(name).alias("table"))
+    return compare.table_churn(files.churn(_commits(spark, sf_dir)), own("nation", "n_name").union(own("region", "r_name")))
 
-@query("SELECT * FROM (VALUES ('7:1', 'orders'), ('7:1', 'order_items'), ('9:1', 'orders')) AS t(tx, \"table\")")
+
+@query(_TX)
 def txlog_parse(spark, sf_dir):
-    log = [
-        "2024-01-01T00:00:00Z 7 Query BEGIN", "2024-01-01T00:00:00Z 9 Query START TRANSACTION", "2024-01-01T00:00:01Z 7 Query INSERT INTO `Orders` VALUES (1)", "2024-01-01T00:00:01Z 9 Query UPDATE orders SET x = 1",
-        "2024-01-01T00:00:02Z 7 Execute DELETE FROM shop.order_items", "2024-01-01T00:00:02Z 7 Query COMMIT", "2024-01-01T00:00:03Z 9 Query commit", "2024-01-01T00:00:04Z 7 Query UPDATE lone SET x = 1", "2024-01-01T00:00:05Z 8 Query BEGIN",
-        "2024-01-01T00:00:05Z 8 Query INSERT INTO gone VALUES (1)", "2024-01-01T00:00:06Z 8 Quit ", "2024-01-01T00:00:07Z 8 Query COMMIT",
-    ]
-    return cooc.read_log(spark.createDataFrame(list(enumerate(log)), "seq long, line string"))
+    path = f"{shared_dir(spark)}/seamline-log-{uuid.uuid4().hex}"
+    line = F.format_string("2024-01-01T00:00:00Z %s Query %s", "thread", "sql")
+    sub.event_log(spark, sf_dir).orderBy("seq").select(line.alias("value")).write.text(path)  # parts are named in the order of their rows
+    return cooc.read_log(files.log_lines(spark, path))
 
 
-def _tree(spark, texts: dict[str, str], read) -> dict[str, DataFrame]:
-    src = spark.createDataFrame([("tree", k, v) for k, v in texts.items()], "tree string, path string, text string")
+def _trees(spark, sf_dir, vendor: str, nation: str, region: str, more: str, cascade: str, suffix: str, extra: dict[str, str], read) -> dict[str, DataFrame]:
+    """What is found in one source tree for each region: a class for the region, for each of its nations and for each of their suppliers."""
+    n = sub.table(spark, sf_dir, "nation")
+    s = sub.table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    tree = F.col("n_regionkey").cast("string").alias("tree")
+    path = lambda name, key: F.format_string(suffix, F.lit(name), key).alias("path")
+    lines = s.where("s_suppkey % 3 = 0").groupBy("n_nationkey").agg(F.array_join(F.array_sort(F.collect_list(F.format_string(cascade, "s_suppkey"))), "\n").alias("lines"))
+    fill = lambda text, *cols: F.format_string(text, *cols).alias("text")
+    src = s.select(tree, path("vendor", "s_suppkey"), fill(vendor, "s_suppkey", "n_nationkey", F.when(F.col("s_acctbal") < 0, ", optional: true").otherwise(""), F.when(F.col("s_suppkey") % 5 == 0, F.format_string(more, "n_regionkey")).otherwise("")))
+    src = src.union(n.join(lines, "n_nationkey", "left").select(tree, path("nation", "n_nationkey"), fill(nation, "n_nationkey", "n_regionkey", F.coalesce("lines", F.lit("")))))
+    src = src.union(n.select("n_regionkey").distinct().select(tree, path("region", "n_regionkey"), fill(region, "n_regionkey")))
+    for name, text in extra.items():
+        src = src.union(n.select("n_regionkey").distinct().select(tree, F.lit(name), F.lit(text)))
     src = src.select("*", rawsql.written_tables(F.col("text")).alias("writes"), rawsql.read_tables(F.col("text")).alias("reads"))
     return models.frames(models.resolve(src, read), "models")
 
 
-_RUBY = {
-    "app/models/nation.rb": "class Nation < ApplicationRecord\n  belongs_to :region\n  has_many :customers, dependent: :destroy\nend",
-    "app/models/region.rb": "class Region < ApplicationRecord\nend",
-    "app/models/customer.rb": "class Customer < ApplicationRecord\n  belongs_to :nation, optional: true\n  has_many :orders\nend",
-    "app/models/order.rb": "class Order < ApplicationRecord\n  belongs_to :customer,\n             foreign_key: 'custkey'\n  after_save :count\n  def count = Region.touch_all\nend",
-}
-_PHP = {
-    "protected/config/main.php": "<?php return array('tablePrefix' => 't_');",
-    "protected/models/Orders.php": "<?php class Orders extends CActiveRecord {\n function tableName() { return '{{orders}}'; }\n function relations() { return array('c' => array(self::BELONGS_TO, 'Customer', 'custkey'),\n 'parts' => array(self::MANY_MANY, 'Part', '{{lineitem}}(orderkey, partkey)')); }\n function afterDelete() { Part::model()->deleteAll(); }\n}",
-    "protected/models/Customer.php": "<?php class Customer extends CActiveRecord {\n function tableName() { return 'customer'; }\n function relations() { return ['o' => [self::HAS_MANY, 'Orders', 'custkey']]; }\n}",
-    "protected/models/Part.php": "<?php class Part extends CActiveRecord {\n function tableName() { return '{{part}}'; }\n}",
-}
+def _rails(spark, sf_dir) -> dict[str, DataFrame]:
+    return _trees(
+        spark, sf_dir, "class Vendor%1$d < ApplicationRecord\n  belongs_to :nation%2$d%3$s\n%4$send", "class Nation%1$d < ApplicationRecord\n  belongs_to :region%2$d\n%3$s\nend", "class Region%d < ApplicationRecord\nend",
+        "  after_save :count\n  def count = Region%d.touch_all\n", "  has_many :vendor%ds, dependent: :destroy", "app/models/%s%d.rb", {}, rails.read,
+    )
+
+
+def _yii(spark, sf_dir) -> dict[str, DataFrame]:
+    return _trees(
+        spark, sf_dir, "<?php class Vendor%1$d extends CActiveRecord {\n function tableName() { return '{{vendor%1$d}}'; }\n function relations() { return array('n' => array(self::BELONGS_TO, 'Nation%2$d', 'nationkey')); } /* %3$s */\n%4$s}",
+        "<?php class Nation%1$d extends CActiveRecord {\n function tableName() { return 'nation%1$d'; }\n function relations() { return ['r' => [self::BELONGS_TO, 'Region%2$d', 'regionkey'],\n%3$s]; }\n}",
+        "<?php class Region%1$d extends CActiveRecord {\n function tableName() { return 'region%1$d'; }\n}", " function afterDelete() { Region%d::model()->deleteAll(); }\n", " 'v%1$d' => [self::HAS_MANY, 'Vendor%1$d', 'nationkey'],",
+        "protected/models/%s%d.php", {"protected/config/main.php": "<?php return array('tablePrefix' => 't_');"}, yii.read,
+    )
 
 
 def _declared(found: dict[str, DataFrame]) -> DataFrame:
     return found["relations"].select("child_table", F.array_join("child_columns", ",").alias("child_columns"), "parent_table", "delete_rule", "nullable", F.size("evidences").alias("n_evidence"))
 
 
-@query("""SELECT * FROM (VALUES ('nations', 'region_id', 'regions', 'NO ACTION', 'false', 1), ('customers', 'nation_id', 'nations', 'CASCADE', 'true', 2), ('orders', 'custkey', 'customers', 'NO ACTION', 'false', 1))
-AS t(child_table, child_columns, parent_table, delete_rule, nullable, n_evidence)""")
+@query("""SELECT 'vendor' || s_suppkey || 's' AS child_table, 'nation' || s_nationkey || '_id' AS child_columns, 'nation' || s_nationkey || 's' AS parent_table, CASE WHEN s_suppkey % 3 = 0 THEN 'CASCADE' ELSE 'NO ACTION' END AS delete_rule,
+CASE WHEN s_acctbal < 0 THEN 'true' ELSE 'false' END AS nullable, CASE WHEN s_suppkey % 3 = 0 THEN 2 ELSE 1 END AS n_evidence FROM supplier
+UNION ALL SELECT 'nation' || n_nationkey || 's', 'region' || n_regionkey || '_id', 'region' || n_regionkey || 's', 'NO ACTION', 'false', 1 FROM nation""")
 def rails_relations(spark, sf_dir):
-    return _declared(_tree(spark, _RUBY, rails.read))
+    return _declared(_rails(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('orders', 'regions', true, 'mention')) AS t(from_table, to_table, strong, why)")
+@query("SELECT 'vendor' || s_suppkey || 's' AS from_table, 'region' || n_regionkey || 's' AS to_table, true AS strong, 'mention' AS why FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 5 = 0")
 def rails_suspects(spark, sf_dir):
-    return _tree(spark, _RUBY, rails.read)["suspects"]
+    return _rails(spark, sf_dir)["suspects"]
 
 
-@query("""SELECT * FROM (VALUES ('t_orders', 'custkey', 'customer', 'NO ACTION', 'unknown', 2), ('t_lineitem', 'orderkey', 't_orders', 'NO ACTION', 'unknown', 1), ('t_lineitem', 'partkey', 't_part', 'NO ACTION', 'unknown', 1))
-AS t(child_table, child_columns, parent_table, delete_rule, nullable, n_evidence)""")
+@query("""SELECT 't_vendor' || s_suppkey AS child_table, 'nationkey' AS child_columns, 'nation' || s_nationkey AS parent_table, 'NO ACTION' AS delete_rule, 'unknown' AS nullable, CASE WHEN s_suppkey % 3 = 0 THEN 2 ELSE 1 END AS n_evidence FROM supplier
+UNION ALL SELECT 'nation' || n_nationkey, 'regionkey', 'region' || n_regionkey, 'NO ACTION', 'unknown', 1 FROM nation""")
 def yii1_relations(spark, sf_dir):
-    return _declared(_tree(spark, _PHP, yii.read))
+    return _declared(_yii(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('t_orders', 't_part', true, 'manual cascade')) AS t(from_table, to_table, strong, why)")
+@query("SELECT 't_vendor' || s_suppkey AS from_table, 'region' || n_regionkey AS to_table, true AS strong, unnest(['manual cascade', 'mention']) AS why FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 5 = 0")
 def yii1_suspects(spark, sf_dir):
-    return _tree(spark, _PHP, yii.read)["suspects"]
+    return _yii(spark, sf_dir)["suspects"]
 
 
-@query("SELECT * FROM (VALUES ('customer', 3), ('orders', 1)) AS t(\"table\", churn)")
-def table_churn(spark, sf_dir):
-    paths = spark.createDataFrame([("app/protected/models/Customer.php", 2), ("protected/models/Customer.php", 1), ("models/Orders.php", 1), ("x/notmodels/Orders.php", 4)], "path string, n int")
-    of = spark.createDataFrame([("protected/models/Customer.php", "customer"), ("models/Orders.php", "orders")], "file string, table string")
-    return files.table_churn(paths, of).select("table", F.col("churn").cast("int").alias("churn"))
+# -- a graph of thousands of nodes -----------------------------------------------------------------------------------
+
+_BOUGHT = "purchase edge whole bridge"
+
+
+@query(sql("purchase edge", f"SELECT {EDGE} FROM edge"))
+def purchase_edges(spark, sf_dir):
+    return graph.bundle_edges(sub.purchases(spark, sf_dir)).select(E_)
+
+
+@query(sql("purchase edge deg", "SELECT node, degree FROM deg"))
+def purchase_degree(spark, sf_dir):
+    return graph.degrees(graph.bundle_edges(sub.purchases(spark, sf_dir)))
+
+
+@query(sql("purchase edge", ", link AS (SELECT a AS u, b AS v FROM edge UNION SELECT b, a FROM edge), reached(u, v) AS (SELECT u, u FROM link UNION SELECT r.u, l.v FROM reached r JOIN link l ON r.v = l.u) SELECT u AS node, min(v) AS component FROM reached GROUP BY u"))
+def purchase_components(spark, sf_dir):
+    return connected_components(graph.bundle_edges(sub.purchases(spark, sf_dir)), "a", "b", finish_edges=1000)
+
+
+@query(sql(_BOUGHT, f"SELECT {EDGE} FROM bridge"))
+def purchase_bridges(spark, sf_dir):
+    return graph.bridges(stage(graph.bundle_edges(sub.purchases(spark, sf_dir)), "edges")).select(E_)
+
+
+@query(sql(_BOUGHT, "SELECT node, block FROM block"))
+def purchase_blocks(spark, sf_dir):
+    edges = stage(graph.bundle_edges(sub.purchases(spark, sf_dir)), "edges")
+    return graph.blocks(edges, graph.bridges(edges))
+
+
+@query("""WITH e AS (SELECT DISTINCT 'c' || o_custkey AS a, 'p' || l_partkey AS b, l_quantity >= 50 AS first FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 49),
+l AS (SELECT 'c' || c_custkey AS t, c_nationkey % 5 AS la, c_nationkey % 3 AS lb FROM customer UNION ALL SELECT 'p' || p_partkey, p_size % 5, p_size % 3 FROM part),
+s AS (SELECT a, b, max(CASE WHEN first THEN CASE WHEN x.la = y.la THEN 'internal' ELSE 'cut' END END) AS sa, max(CASE WHEN NOT first THEN CASE WHEN x.lb = y.lb THEN 'internal' ELSE 'cut' END END) AS sb FROM e JOIN l x ON a = x.t JOIN l y ON b = y.t GROUP BY a, b)
+SELECT a, b, coalesce(sa, 'absent') AS state_a, coalesce(sb, 'absent') AS state_b FROM s WHERE sa = 'cut' OR sb = 'cut'""")
+def cut_edge_diff(spark, sf_dir):
+    own = lambda t, mark, key, by: sub.table(spark, sf_dir, t).select(F.concat(F.lit(mark), F.col(key).cast("string")).alias("table"), (F.col(by) % 5).alias("la"), (F.col(by) % 3).alias("lb"))
+    labels = own("customer", "c", "c_custkey", "c_nationkey").union(own("part", "p", "p_partkey", "p_size"))
+    one, two = (graph.bundle_edges(sub.purchases(spark, sf_dir, *q)) for q in ((50, None), (49, 50)))
+    return compare.cut_edges(one, two, labels)
 
 
 @query()

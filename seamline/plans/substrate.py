@@ -44,8 +44,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trade(spark: SparkSession, sf_dir: str, year: int | None = None) -> DataFrame:
     """(a, b, cnt, revenue): lines between customers and suppliers of two nations, a < b by name."""
     o = table(spark, sf_dir, "orders")
-    if year:
-        o = o.where(F.year("o_orderdate") == year)
+    if year:  # a range, so that the scan is pruned
+        o = o.where((F.col("o_orderdate") >= F.lit(f"{year}-01-01").cast("timestamp_ntz")) & (F.col("o_orderdate") < F.lit(f"{year + 1}-01-01").cast("timestamp_ntz")))
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     c = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("cn"))
     s = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("sn"))
@@ -72,6 +72,21 @@ def _by(by: str):
     return Window.orderBy(F.desc(by), "a", "b")  # over the top rows alone
 
 
+def purchases(spark: SparkSession, sf_dir: str, least: int = 50, below: int | None = None) -> DataFrame:
+    """Every large line as a relation of the customer to the part: cascading where it was returned, not null where it is final. Nodes grow with the customers and parts."""
+    lines = table(spark, sf_dir, "lineitem").where(F.col("l_quantity") >= least)
+    if below:
+        lines = lines.where(F.col("l_quantity") < below)
+    each = lines.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rule = F.when(F.col("l_returnflag") == "R", "CASCADE").otherwise("NO ACTION")
+    name = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    ev = F.struct(F.lit("physical").alias("source"), F.lit("").alias("origin"), name.alias("constraint"), rule.alias("delete_rule"), F.lit("").alias("nullable"))
+    return each.select(
+        name.alias("constraint"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("child_table"), F.array(F.lit("id")).alias("child_columns"), F.lit(None).cast("string").alias("parent_schema"),
+        F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("parent_table"), rule.alias("delete_rule"), (F.col("l_linestatus") == "F").alias("all_not_null"), F.lit("").alias("nullable"), F.array(ev).alias("evidences"),
+    )
+
+
 def order_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tx, table): the nations of the suppliers of each order."""
     s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("table"))
@@ -94,6 +109,10 @@ trade AS (SELECT least(cn, sn) AS a, greatest(cn, sn) AS b, count(*) AS cnt, CAS
     "rel": """
 rel{x} AS (SELECT a AS child, b AS parent, r, cnt, CASE WHEN r % 4 = 0 THEN 'CASCADE' ELSE 'NO ACTION' END AS rule, r % 2 = 0 AS nn, CASE WHEN r % 3 = 0 THEN 'unknown' ELSE '' END AS nullable
         FROM (SELECT a, b, cnt, row_number() OVER (ORDER BY {by} DESC, a, b) AS r FROM trade{x}) WHERE r <= 24)""",
+    "purchase": """
+rel AS (SELECT 'c' || o_custkey AS child, 'p' || l_partkey AS parent, CASE WHEN l_returnflag = 'R' THEN 'CASCADE' ELSE 'NO ACTION' END AS rule, l_linestatus = 'F' AS nn FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 50)""",
+    "whole": """
+core AS (SELECT * FROM edge)""",
     "edge": """
 edge AS (SELECT least(child, parent) AS a, greatest(child, parent) AS b, CAST(sum(w) AS DOUBLE) AS weight, CAST(max(w) AS DOUBLE) AS max_weight, count(*) AS n_relations, bool_or(rule = 'CASCADE') AS has_cascade, bool_or(nn) AS any_not_null
          FROM (SELECT *, CASE WHEN rule = 'CASCADE' THEN 3.0 WHEN nn THEN 2.0 ELSE 1.0 END AS w FROM rel) WHERE child <> parent GROUP BY 1, 2)""",
