@@ -153,8 +153,10 @@ def recognise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     ident = F.create_map(*[F.lit(x) for name, texts in sentences.items() for t in texts for x in (t, name)])
     clean = lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
     known = lambda parts: F.filter(F.transform(parts, lambda s: F.try_element_at(ident, clean(s))), lambda s: s.isNotNull())
-    most = lambda x, y: F.when(F.size(x) >= F.size(y), x).otherwise(y)
-    joined = lambda s: most(most(known(F.split(s, "\n")), known(F.array(s))), most(known(F.split(s, "[:;][ \\t\\n\\r\\f]+")), known(F.split(s, "\n|[:;][ \\t\\r\\f]+"))))
+    none = F.array().cast("array<string>")
+    most = lambda lists: F.reduce(F.array(*lists), none, lambda best, x: F.when(F.size(x) > F.size(best), x).otherwise(best))  # noqa: E731  each list is made once
+    ways = lambda s: [known(F.split(s, "\n")), known(F.array(s)), known(F.split(s, "[:;][ \\t\\n\\r\\f]+")), known(F.split(s, "\n|[:;][ \\t\\r\\f]+"))]
+    joined = lambda s: F.when(s.rlike("\n|[:;][ \\t\\r\\f]"), most(ways(s))).otherwise(known(F.array(s)))
     normal = F.filter(F.transform(F.split(text, "[\\n\\x01]"), clean), lambda s: s != "")
     named = docs.select(F.col(id_col), F.size(normal).cast("long").alias("n_sentences"), F.flatten(F.transform(F.split(marked, "\\x01"), joined)).alias("ids"))
     chain = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))
