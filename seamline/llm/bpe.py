@@ -9,7 +9,6 @@ import json
 import re
 import sys
 from array import array
-from collections import defaultdict
 
 from pyspark.sql import DataFrame, types as T
 
@@ -91,17 +90,18 @@ class Encoder:
             ids.append(-1)  # no pair crosses words
         n = len(ids)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        at: dict[tuple[int, int], list[int]] = defaultdict(list)
+        at: dict[tuple[int, int], list[int]] = {}
         for i, pair in enumerate(zip(ids, ids[1:], strict=False)):
-            if pair in merge:
-                at[pair].append(i)
+            if (places := at.get(pair)) is not None:
+                places.append(i)
+            elif pair in merge:
+                at[pair] = [i]
         heap = [(merge[p][0], p) for p in at]
         heapq.heapify(heap)
+        push = heapq.heappush
         while heap:
-            _, pair = heapq.heappop(heap)
-            places = at.pop(pair, None)
-            if places is None:
-                continue
+            pair = heapq.heappop(heap)[1]
+            places = at.pop(pair)
             a, b = pair
             made = merge[pair][1]
             places.sort()
@@ -112,22 +112,22 @@ class Encoder:
                 if j >= n or ids[j] != b:
                     continue
                 ids[i], ids[j] = made, -2
-                k = right[j]
-                right[i] = k
+                right[i] = k = right[j]
                 if k < n:
                     left[k] = i
                     new = (made, ids[k])
-                    if new in merge:
-                        if new not in at:
-                            heapq.heappush(heap, (merge[new][0], new))
-                        at[new].append(i)
-                h = left[i]
-                if h >= 0:
+                    if (found := at.get(new)) is not None:
+                        found.append(i)
+                    elif new in merge:
+                        at[new] = [i]
+                        push(heap, (merge[new][0], new))
+                if (h := left[i]) >= 0:
                     new = (ids[h], made)
-                    if new in merge:
-                        if new not in at:
-                            heapq.heappush(heap, (merge[new][0], new))
-                        at[new].append(h)
+                    if (found := at.get(new)) is not None:
+                        found.append(h)
+                    elif new in merge:
+                        at[new] = [h]
+                        push(heap, (merge[new][0], new))
         known = self.known
         for w, start, end in spans:
             known[w] = array("I", [x for x in ids[start:end] if x >= 0]).tobytes()
