@@ -72,11 +72,11 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 
 _OP4 = """
 WITH pages AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, text FROM documents),
-total AS (SELECT host, count(*) AS pages FROM pages GROUP BY host),
-line AS (SELECT r, host, x.pos, x.line FROM (SELECT r, host, unnest(list_transform(string_split(text, chr(10)), lambda l, i: {'pos': i, 'line': l})) AS x FROM pages WHERE text IS NOT NULL)),
-frequent AS (SELECT host, trim(line) AS key, count(DISTINCT r) AS n FROM line WHERE trim(line) <> '' GROUP BY 1, 2),
-boiler AS (SELECT host, key FROM frequent JOIN total USING (host) WHERE n >= 3 AND n > 0.05 * pages),
-marked AS (SELECT line.*, boiler.key IS NOT NULL AS bad FROM line LEFT JOIN boiler ON line.host = boiler.host AND trim(line.line) = boiler.key),
+total AS (SELECT host, count(DISTINCT text) AS pages FROM pages GROUP BY host),
+line AS (SELECT r, host, text, x.pos, x.line FROM (SELECT r, host, text, unnest(list_transform(string_split(text, chr(10)), lambda l, i: {'pos': i, 'line': l})) AS x FROM pages WHERE text IS NOT NULL)),
+frequent AS (SELECT host, trim(line) AS key, count(DISTINCT text) AS n FROM line WHERE trim(line) <> '' GROUP BY 1, 2),
+boiler AS (SELECT host, key FROM frequent JOIN total USING (host) WHERE n >= 3 AND n > CAST(0.01 AS DOUBLE) * pages),
+marked AS (SELECT line.r, line.pos, line.line, boiler.key IS NOT NULL AS bad FROM line LEFT JOIN boiler ON line.host = boiler.host AND trim(line.line) = boiler.key),
 joined AS (SELECT r, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT bad), '') AS text, count(*) AS n_lines, count(*) FILTER (bad) AS n_dropped FROM marked GROUP BY r)
 SELECT doc_id, joined.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped FROM pages LEFT JOIN joined USING (r)
 """

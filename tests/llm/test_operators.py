@@ -70,6 +70,19 @@ def test_lines(spark):
     assert lines.drop_boilerplate(docs(spark, [])).count() == 0
 
 
+def test_lines_of_copies(spark):
+    """A page copied 50 times keeps its lines; a line in the frame of distinct pages goes from the copies too."""
+    texts = [(i, "Frame\ncopied") for i in range(50)] + [(100 + i, f"Frame\nown {i}") for i in range(20)] + [(200, "twice"), (201, "twice\nx")]
+    got = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(docs(spark, texts)).collect()}
+    assert got == {i: "\n".join(x for x in t.split("\n") if x != "Frame") for i, t in texts}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(i, t, None) for i, t in [*texts, (300, None), (301, "")]])
+    found = {r[0]: r[1:] for r in con.execute(queries.ORACLE_SQL["op4_line_dedup"]).fetchall()}
+    full = lines.drop_boilerplate(docs(spark, [*texts, (300, None), (301, "")], None)).collect()
+    assert {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in full} == found
+
+
 def slow_hits(text, items):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text))
     hit, found = set(), set()
