@@ -17,14 +17,17 @@ def fold(doc_id):
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of documents with its fingerprint and component; null and empty texts have fingerprint zero."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of pages judged; null addresses and those without :// have empty host and path."""
     return urls.judge(_table(spark, sf_dir, "pages")).drop("component")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of documents scored; null and empty texts too. A null doc_id is not held out."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     net = toxicity.fit(docs, training_labels(labels))
     return toxicity.with_score(docs.select("doc_id", "text"), net).select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
@@ -36,33 +39,40 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of documents without its source's boilerplate lines; a null text stays null."""
     return lines.drop_boilerplate(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of documents with its hits; a null text has no words."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.summary(decontaminate.contamination(docs, _table(spark, sf_dir, "benchmark")))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of documents with its spans; a null text is empty."""
     return secrets.summary(secrets.scan(_table(spark, sf_dir, "documents")))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of documents with its language; `und` where the text is null or has no letter. A null doc_id is not held out."""
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(F.coalesce(fold(F.col("doc_id")) != 1, F.lit(True))))
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of documents with its sentences and licences; a null text has none."""
     return licenses.recognise(_table(spark, sf_dir, "documents"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of documents with the row that stays; a null text is empty."""
     return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of documents with the digests of its tokens; a null text is empty."""
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
@@ -125,25 +135,41 @@ def _op2() -> str:
     """The same classes by a recursive closure over the links; RE2 has no lookahead, so a tag is found first and tested then."""
     host = lambda url: _LOWER.format(f"coalesce(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), '')")
     path = lambda url: f"coalesce(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
-    key = lambda url: f"{host(url)} || CASE {path(url)} WHEN '' THEN '/' ELSE {path(url)} END || coalesce(regexp_extract({url}, '(?s)^[^#?]*([?][^#]*)', 1), '')"
+    query = lambda url: f"coalesce(regexp_extract({url}, '(?s)^[^#?]*([?][^#]*)', 1), '')"
+    at = lambda url: f"CASE {path(url)} WHEN '' THEN '/' ELSE {path(url)} END"
+    key = lambda url: f"{host(url)} || {at(url)} || {query(url)}"
 
     def rule(h: str, p: str, part: int) -> str:
         longest = sorted(urls.RULES, key=lambda r: (len(r[1] + r[2]), r[1], r[2]), reverse=True)
         return "CASE " + " ".join(f"WHEN ({h} = '{rh}' OR ends_with({h}, '.{rh}')) AND starts_with({p}, '{rp}') THEN '{verdict if part else rh + rp}'" for verdict, rh, rp in longest) + " END"
 
-    def first(tag: str, marked: str, value: str) -> str:
-        return f"nullif(regexp_extract(list_filter(regexp_extract_all(html, '(?i)<{tag}\\b[^>]*'), lambda x: regexp_matches(x, '{marked}') AND regexp_matches(x, '{value}'))[1], '{value}', 1), '')"
+    def every(tag: str, marked: str, value: str) -> str:
+        return f"list_transform(list_filter(regexp_extract_all(html, '(?i)<{tag}\\b[^>]*'), lambda x: regexp_matches(x, '{marked}') AND regexp_matches(x, '{value}')), lambda x: regexp_extract(x, '{value}', 1))"
+
+    def no_dots(p: str) -> str:
+        step = "CASE WHEN x[1] = '.' THEN done WHEN x[1] = '..' THEN done[1 : greatest(len(done) - 1, 1)] ELSE done || x END"
+        return f"array_to_string(list_reduce(list_transform(string_split({p}, '/'), lambda s: [s]), lambda done, x: {step}), '/') || CASE WHEN regexp_matches({p}, '/\\.\\.?$') THEN '/' ELSE '' END"
+
+    def resolved(name: str, source: str, href: str, url: str, carried: str) -> str:
+        """CTEs that end in one of carried and dst, the absolute form of href."""
+        return f"""{name}_a AS (SELECT *, replace({href}, '&amp;', '&') AS ref FROM {source}),
+{name}_b AS (SELECT *, regexp_extract(ref, '(?s)^([^?#]*)', 1) AS named, regexp_extract(ref, '(?s)^[^?#]*(.*)$', 1) AS rest FROM {name}_a),
+{name}_c AS (SELECT *, CASE WHEN starts_with(named, '/') THEN named ELSE regexp_replace({at(url)}, '[^/]*$', '') || named END AS merged FROM {name}_b),
+{name} AS (SELECT {carried}, CASE WHEN regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN ref WHEN regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(ref, '//') THEN 'http:' || ref
+    ELSE 'http://' || {host(url)} || CASE named WHEN '' THEN {at(url)} || CASE WHEN starts_with(rest, '?') THEN '' ELSE {query(url)} END ELSE {no_dots("merged")} END || rest END AS dst FROM {name}_c)"""
 
     gap = r"""\s*=\s*["'']?"""
-    canonical = first("link", rf"(?i)\brel{gap}canonical\b", rf"""(?i)^[^>]*\bhref{gap}([^"''\s>]+)""")
-    refresh = first("meta", rf"(?i)\bhttp-equiv{gap}refresh\b", r"""(?i)^[^>]*\bcontent\s*=\s*["''][^"''>]*?url\s*=\s*([^"''\s>]+)""")
+    canonical = every("link", rf"(?i)\brel{gap}canonical\b", rf"""(?i)^[^>]*\bhref{gap}([^"''\s>]+)""")
+    refresh = every("meta", rf"(?i)\bhttp-equiv{gap}refresh\b", r"""(?i)^[^>]*\bcontent\s*=\s*["''][^"''>]*?url\s*=\s*([^"''\s>]+)""")
+    base = rf"""(?i)<base\b[^>]*\bhref{gap}([^"''\s>]+)"""
     own = rule("regexp_extract(other, '(?s)^([^/?#]*)', 1)", "regexp_extract(other, '(?s)^[^/?#]*([^?]*)', 1)", 1)
     return f"""
 WITH RECURSIVE page AS (SELECT page_id, url, html, {host("url")} AS host, {path("url")} AS path FROM pages),
-said AS (SELECT url, host, path, unnest([{canonical}, {refresh}]) AS href FROM page WHERE contains(url, '://') AND (contains(lower(html), 'canonical') OR contains(lower(html), 'refresh'))),
-target AS (SELECT url, CASE WHEN contains(href, '://') THEN href WHEN starts_with(href, '//') THEN 'http:' || href WHEN starts_with(href, '/') THEN 'http://' || host || href
-    ELSE 'http://' || host || CASE path WHEN '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || href END AS dst FROM said WHERE href IS NOT NULL),
-link AS (SELECT {key("url")} AS src, {key("dst")} AS dst FROM target),
+marked AS (SELECT url, html, nullif(regexp_extract(html, '{base}', 1), '') AS base FROM page WHERE contains(url, '://') AND (contains(lower(html), 'canonical') OR contains(lower(html), 'refresh'))),
+{resolved("based", "marked", "base", "url", "url, html")},
+said AS (SELECT url, coalesce(dst, url) AS here, unnest({canonical} || {refresh}) AS href FROM based),
+{resolved("target", "said", "href", "here", "url")},
+link AS (SELECT {key("url")} AS src, {key("dst")} AS dst FROM target WHERE dst IS NOT NULL),
 edge AS (SELECT src, dst FROM link UNION SELECT dst, src FROM link),
 reach AS (SELECT src AS key, src AS other FROM edge UNION SELECT reach.key, edge.dst FROM reach JOIN edge ON reach.other = edge.src),
 vote AS (SELECT key, {own} AS own FROM reach),

@@ -13,13 +13,16 @@ RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 #: Where a page names its canonical address or sends its reader on: group 1 is the address.
 CANONICAL = r"""(?i)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH = r"""(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*([^"'\s>]+)"""
+BASE = r"""(?i)<base\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
 
 
 def host(url: Column) -> Column:
+    """What follows the first :// up to a slash, question mark, hash or the end, A-Z lower-cased; empty for null and without ://."""
     return lower_ascii(F.coalesce(F.regexp_extract(url, "(?s)^.*?://([^/?#]*)", 1), F.lit("")))
 
 
 def path(url: Column) -> Column:
+    """What follows the host up to a question mark, hash or the end, as it is; empty for null and without ://."""
     return F.coalesce(F.regexp_extract(url, "(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
@@ -32,29 +35,58 @@ def rule(h: Column, p: Column, rules=None, part: int = 0) -> Column:
     return out
 
 
-def resolve(href: Column, h: Column, p: Column) -> Column:
-    """The absolute form of an address on a page."""
-    base = F.concat(F.lit("http://"), h)
+def query(url: Column) -> Column:
+    """The query with its question mark, up to a hash or the end; empty for null and without one."""
+    return F.coalesce(F.regexp_extract(url, "(?s)^[^#?]*(\\?[^#]*)", 1), F.lit(""))
+
+
+def no_dots(p: Column) -> Column:
+    """A path that starts with a slash, without its . and .. segments."""
+    first = F.array(F.lit(""))
+    kept = F.aggregate(
+        F.slice(F.split(p, "/"), 2, F.size(F.split(p, "/"))), first,
+        lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x))),
+    )
+    end = F.when(F.regexp_like(p, F.lit(r"/\.\.?$")), F.lit("/")).otherwise(F.lit(""))
+    return F.when(F.contains(p, F.lit("/.")), F.concat(F.array_join(kept, "/"), end)).otherwise(p)
+
+
+def resolve(href: Column, url: Column) -> Column:
+    """The absolute form of an address that stands on the page url; null for other schemes (mailto:, javascript:).
+
+    &amp; is read as &; an empty path means the page's own, an empty query with it the page's own query.
+    """
+    to = F.replace(href, F.lit("&amp;"), F.lit("&"))
+    at = F.when(path(url) == "", F.lit("/")).otherwise(path(url))
+    named, rest = F.regexp_extract(to, "(?s)^([^?#]*)", 1), F.regexp_extract(to, "(?s)^[^?#]*(.*)$", 1)
+    own = F.concat(at, F.when(F.startswith(rest, F.lit("?")), F.lit("")).otherwise(query(url)), rest)
+    beside = F.concat(no_dots(F.when(F.startswith(named, F.lit("/")), named).otherwise(F.concat(F.regexp_replace(at, "[^/]*$", ""), named))), rest)
     return (
-        F.when(F.contains(href, F.lit("://")), href)
-        .when(F.startswith(href, F.lit("//")), F.concat(F.lit("http:"), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(base, href))
-        .otherwise(F.concat(base, F.when(p == "", F.lit("/")).otherwise(F.regexp_replace(p, "[^/]*$", "")), href))
+        F.when(F.regexp_like(to, F.lit("^[A-Za-z][A-Za-z0-9+.-]*://")), to)
+        .when(F.regexp_like(to, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")), F.lit(None))
+        .when(F.startswith(to, F.lit("//")), F.concat(F.lit("http:"), to))
+        .otherwise(F.concat(F.lit("http://"), host(url), F.when(named == "", own).otherwise(beside)))
     )
 
 
 def alias_key(url: Column) -> Column:
     """What counts as the same address: host, path and query, whatever the scheme and fragment."""
-    query = F.coalesce(F.regexp_extract(url, "(?s)^[^#?]*(\\?[^#]*)", 1), F.lit(""))
-    return F.concat(host(url), F.when(path(url) == "", F.lit("/")).otherwise(path(url)), query)
+    return F.concat(host(url), F.when(path(url) == "", F.lit("/")).otherwise(path(url)), query(url))
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst): each page's address and the canonical or refresh address it names, as alias keys."""
+    """(src, dst): each page's address and every canonical or refresh address it names, as alias keys.
+
+    Addresses are resolved against the page's first base address, if it has one, else against its own. A null html names none.
+    """
     marked = pages.where(F.col(url_col).contains("://") & (F.lower(html_col).contains("canonical") | F.lower(html_col).contains("refresh")))
-    to = F.explode(F.array_compact(F.array(*[F.nullif(F.regexp_extract(html_col, x, 1), F.lit("")) for x in (CANONICAL, REFRESH)])))
-    each = marked.select(F.col(url_col).alias("url"), to.alias("href"))
-    return each.select(alias_key(F.col("url")).alias("src"), alias_key(resolve(F.col("href"), host(F.col("url")), path(F.col("url")))).alias("dst"))
+    found = F.concat(*[F.regexp_extract_all(html_col, F.lit(x), F.lit(1)) for x in (CANONICAL, REFRESH)])
+    base = F.nullif(F.regexp_extract(html_col, BASE, 1), F.lit(""))
+    url = F.col("url")
+    each = marked.select(F.col(url_col).alias("url"), base.alias("base"), F.explode(found).alias("href"))
+    each = each.select("url", F.coalesce(resolve(F.col("base"), url), url).alias("at"), "href")
+    each = each.select("url", resolve(F.col("href"), F.col("at")).alias("to")).where("to IS NOT NULL")
+    return each.select(alias_key(url).alias("src"), alias_key(F.col("to")).alias("dst"))
 
 
 def classes(links: DataFrame, rules=None) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from urllib.parse import urljoin, urlsplit
 
 import duckdb
 
@@ -149,10 +150,24 @@ def page(target, kind="canonical"):
     return f"<html><link href='{target}' rel=canonical></html>" if kind == "canonical" else f'<META http-equiv="refresh" content="0; URL={target}">'
 
 
+def test_resolve(spark):
+    """Against the standard library's rules, fragments aside."""
+    bases = ["http://a.org/b/c/d?q", "http://a.org", "http://a.org/x/"]
+    hrefs = ["g", "./g", "g/", "/g", "//h.org/g", "?y", "g?y", "#s", "g#s", "g?y#s", "../g", "../../g", "../../../g", "/./g", "/../g", "g.", "..g", ".g", "./g/.", "g/./h", "g/../h", "..", ".", "../", "../..", "g?y/../x", "http://k.org/../z", "x?u=http://y.org/"]
+    d = spark.createDataFrame([(u, h) for u in bases for h in hrefs], "url string, href string")
+    key = {(r["url"], r["href"]): r["key"] for r in d.select("url", "href", urls.alias_key(urls.resolve(d["href"], d["url"])).alias("key")).collect()}
+    for (u, h), got in key.items():
+        whole = h if "://" in h.split("?")[0] else urljoin(u, h)
+        x = urlsplit(whole)
+        assert got == x.netloc + (x.path or "/") + (x.query and "?" + x.query), (u, h)
+
+
 def test_urls(spark):
     rows = [
         (1, "http://A.Example.com/en/x?q", ""), (2, "https://www.example.com/en/y", ""), (3, "http://x.org/1", page("http://s.example.com/en/z")), (4, "http://x.org/2", page("/1", "refresh")), (5, None, page("http://s.example.com/en/z")),
         (6, "no scheme", None), (7, "http://y.org/1", page("http://s.net/es/a")), (8, "http://y.org/1#frag", page("http://fine.com/ok", "refresh")), (9, "http://net/fr/", None), (10, "http://b.org", page("http://c.org/")), (3, "http://x.org/1", ""), (11, "http://example.com", None),
+        (12, "http://d.org/a/b/c?k=1", page("../../bad?x=1&amp;y=2")), (13, "http://d.org/bad?x=1&y=2", page("http://s.net/fr/q")), (14, "http://e.org/", '<base href="//f.org/p/q"><link rel="canonical" href="./r">'), (15, "http://f.org/p/r", page("http://s.net/es/")),
+        (16, "http://g.org/1", page("mailto:x@s.net") + page("http://clean.org/") + page("http://s.net/fr/")), (17, "http://h.org/d/e?k", page("?k=2")), (18, "http://h.org/d/e?k=2", page("http://s.net/es/h")),
     ]
     got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     seen = sorted({(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in got}, key=repr)
@@ -160,6 +175,7 @@ def test_urls(spark):
     assert seen == sorted([
         (1, "a.example.com", "/en/x", "example.com/en/", "block"), (2, "www.example.com", "/en/y", "www.example.com/en/", "allow"), (3, "x.org", "/1", None, "block"), (4, "x.org", "/2", None, "block"), (5, "", "", None, "allow"), (6, "", "", None, "allow"),
         (7, "y.org", "/1", None, "allow"), (8, "y.org", "/1", None, "allow"), (9, "net", "/fr/", "net/fr/", "block"), (10, "b.org", "", None, "allow"), (11, "example.com", "", None, "allow"),
+        (12, "d.org", "/a/b/c", None, "block"), (13, "d.org", "/bad", None, "block"), (14, "e.org", "/", None, "block"), (15, "f.org", "/p/r", None, "block"), (16, "g.org", "/1", None, "block"), (17, "h.org", "/d/e", None, "block"), (18, "h.org", "/d/e", None, "block"),
     ], key=repr)
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     con = duckdb.connect()
