@@ -20,7 +20,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", f
     least priority if that is below its own, doubles the hooks once, and replaces the edges by those between different
     ends. Whatever the order of the names, at least half of the nodes with an edge are expected to hook, so the graph
     falls geometrically and rounds grow with the logarithm of its nodes, for chains, stars and dense graphs alike. Once no
-    more than finish_edges are left, one task unites their ends. Then the rounds are read backwards, from the smallest,
+    more than finish_edges are left, one task unites their ends, in Python; with finish_edges 0 the rounds go on until no
+    edge is left, in DataFrame functions alone. Then the rounds are read backwards, from the smallest,
     so each node is joined once.
 
     Every exchange is a partial aggregate or a join that AQE can split, so a node with most of the edges does not end in
@@ -41,7 +42,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", f
         rounds.append(jump)
         ju, jv = jump.select(F.col("node").alias("u"), F.col("up").alias("pu")), jump.select(F.col("node").alias("v"), F.col("up").alias("pv"))
         live = stage(live.join(ju, "u").join(jv, "v").where("pu <> pv").select(*pair("pu", "pv")).distinct(), "edges")
-    labels = _united(live)
+    labels = _united(live) if finish_edges else live.select(F.col("u").alias("node"), F.col("u").alias("root"))
     for jump in reversed(rounds):
         of = labels.select(F.col("node").alias("mid"), "root")
         labels = stage(jump.join(of, jump["up"] == of["mid"], "left").select("node", F.coalesce("root", "up").alias("root")), "labels")
