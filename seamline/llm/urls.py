@@ -91,7 +91,7 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 def classes(links: DataFrame, rules=None) -> DataFrame:
     """(key, component, class_verdict) of every address with a link: block where some member's own rule blocks it and no member's own rule allows it."""
-    parts = connected_components(links, "src", "dst")
+    parts = connected_components(links, "src", "dst", finish_edges=0)  # no Python on this path
     own = rule(F.regexp_extract("node", "(?s)^([^/?#]*)", 1), F.regexp_extract("node", "(?s)^[^/?#]*([^?]*)", 1), rules, 1)
     judged = stage(parts.withColumn("own", own), "members")
     votes = judged.groupBy("component").agg(F.bool_or(F.coalesce(F.col("own") == "block", F.lit(False))).alias("blocks"), F.bool_or(F.coalesce(F.col("own") == "allow", F.lit(False))).alias("allows"))
