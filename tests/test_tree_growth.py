@@ -49,3 +49,10 @@ def test_rails_child_of_many_owners():
         return [child] + [Source(f"app/models/owner{k}.rb", f"class Owner{k} < ApplicationRecord\n  has_many :lines\nend") for k in range(n)]
 
     _grows(rails.read, tree)
+
+
+def test_rails_suspects_of_a_tree():
+    """Raw SQL counts for the first model of a file alone, and for tables of models."""
+    two = Source("app/models/two.rb", "class One < ApplicationRecord\nend\nclass Two < ApplicationRecord\nend", ["threes", "ones", "absent"], ["twos"])
+    rows = rails.read([Source("app/models/three.rb", "class Three < ApplicationRecord\nend"), two]).rows
+    assert [(r["a"], r["b"], r["strong"], r["label"]) for r in rows if r["kind"] == "suspect"] == [("ones", "threes", True, "raw write"), ("ones", "twos", False, "raw read")]
