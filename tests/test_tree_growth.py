@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 
-from seamline.sources import rails
+from seamline.sources import rails, yii
 from seamline.sources.models import Found, Source
 
 
@@ -27,7 +27,8 @@ def _lines(read, sources) -> tuple[int, Found]:
 
 
 def _grows(read, tree) -> None:
-    (small, _), (large, _) = (_lines(read, tree(n)) for n in (40, 160))
+    read(tree(10))  # patterns are compiled
+    (small, _), (large, _) = (_lines(read, tree(n)) for n in (200, 800))
     assert large < 4.8 * small
 
 
@@ -56,3 +57,28 @@ def test_rails_suspects_of_a_tree():
     two = Source("app/models/two.rb", "class One < ApplicationRecord\nend\nclass Two < ApplicationRecord\nend", ["threes", "ones", "absent"], ["twos"])
     rows = rails.read([Source("app/models/three.rb", "class Three < ApplicationRecord\nend"), two]).rows
     assert [(r["a"], r["b"], r["strong"], r["label"]) for r in rows if r["kind"] == "suspect"] == [("ones", "threes", True, "raw write"), ("ones", "twos", False, "raw read")]
+
+
+def _yii(n: int) -> list[Source]:
+    """A class that has many of each of the others, which name each other and tables of other letter case in raw SQL."""
+    rows = ",\n".join(f"'v{k}' => [self::HAS_MANY, 'Vendor{k}', 'nation_id']" for k in range(n))
+    out = [Source("protected/config/main.php", "<?php return array('tablePrefix' => 't_');")]
+    out += [Source("protected/models/Nation.php", "<?php class Nation extends CActiveRecord {\n function relations() { return [" + rows + "]; } }")]
+    for k in range(n):
+        text = f"<?php class Vendor{k} extends CActiveRecord {{ function tableName() {{ return '{{{{Vendor{k}}}}}'; }} function a() {{ Vendor{(k + 1) % n}::model()->updateAll(); }} }}"
+        out.append(Source(f"protected/models/Vendor{k}.php", text, [f"vendor{(k + 2) % n}"], ["nation", "absent"]))
+    return out
+
+
+def test_yii_work_grows_with_the_classes():
+    _grows(yii.read, _yii)
+
+
+def test_yii_relations_of_a_tree():
+    """Lines are those of the relations; a table that is known by relations alone is found by raw SQL, of names that the prefix tells apart the one as written."""
+    rows = yii.read(_yii(3)).rows
+    assert [(r["a"], r["b"], r["origin"].rpartition(":")[2]) for r in rows if r["kind"] == "relation"] == [(f"t_Vendor{k}", "Nation", str(2 + k)) for k in range(3)]
+    many = "<?php class Tag extends CActiveRecord { function relations() { return [\n'a' => [self::MANY_MANY, 'Tag', 'Tag_Link(x, y)'],\n'b' => [self::MANY_MANY, 'Tag', 't_tag_link(x, y)']]; } }"
+    config = Source("protected/config/main.php", "<?php return array('tablePrefix' => 't_');")
+    rows = yii.read([config, Source("protected/models/Tag.php", many, ["tag_link"], ["t_tag_link"])]).rows
+    assert [(r["a"], r["b"], r["strong"], r["label"]) for r in rows if r["kind"] == "suspect"] == [("Tag", "Tag_Link", True, "raw write"), ("Tag", "t_tag_link", False, "raw read")]
