@@ -82,3 +82,9 @@ def test_yii_relations_of_a_tree():
     config = Source("protected/config/main.php", "<?php return array('tablePrefix' => 't_');")
     rows = yii.read([config, Source("protected/models/Tag.php", many, ["tag_link"], ["t_tag_link"])]).rows
     assert [(r["a"], r["b"], r["strong"], r["label"]) for r in rows if r["kind"] == "suspect"] == [("Tag", "Tag_Link", True, "raw write"), ("Tag", "t_tag_link", False, "raw read")]
+
+
+def test_yii_suspects_of_a_tree():
+    rows = yii.read(_yii(4)).rows
+    of = lambda k: {(r["b"], r["strong"], r["label"]) for r in rows if r["kind"] == "suspect" and r["a"] == f"t_Vendor{k}"}
+    assert [of(k) for k in range(4)] == [{(f"t_Vendor{(k + 1) % 4}", True, "bulk write"), (f"t_Vendor{(k + 1) % 4}", False, "mention"), (f"t_Vendor{(k + 2) % 4}", True, "raw write"), ("Nation", False, "raw read")} for k in range(4)]
