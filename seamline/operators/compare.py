@@ -125,13 +125,13 @@ def moves(labels: DataFrame, match: DataFrame, table: str, a: str, b: str) -> Da
 
 def cut_edges(edges_a: DataFrame, edges_b: DataFrame, labels: DataFrame) -> DataFrame:
     """(a, b, state_a, state_b) of edges that a labeling cuts: cut, internal or absent on each side; an edge cut on neither is left out. labels: (table, la, lb)."""
-    def side(edges, label, name):
-        at = labels.select("table", F.col(label).alias("l"))
-        e = edges.select("a", "b").join(at.select(F.col("table").alias("a"), F.col("l").alias("x")), "a").join(at.select(F.col("table").alias("b"), F.col("l").alias("y")), "b")
-        return e.select("a", "b", F.when(F.col("x") == F.col("y"), "internal").otherwise("cut").alias(name))
-
-    both = side(edges_a, "la", "state_a").join(side(edges_b, "lb", "state_b"), ["a", "b"], "full_outer")
-    out = both.select("a", "b", F.coalesce("state_a", F.lit("absent")).alias("state_a"), F.coalesce("state_b", F.lit("absent")).alias("state_b"))
+    mark = lambda edges, name: edges.select("a", "b", F.lit(True).alias(name))
+    both = mark(edges_a, "in_a").join(mark(edges_b, "in_b"), ["a", "b"], "full_outer")
+    for end in ("a", "b"):  # labels grow with the tables: merged, as a broadcast of them would be whole in every task
+        at = labels.select(F.col("table").alias(end), F.col("la").alias(f"la_{end}"), F.col("lb").alias(f"lb_{end}"))
+        both = both.join(at.hint("merge"), end)
+    state = lambda there, label: F.when(F.col(there).isNull(), "absent").when(F.col(f"{label}_a") == F.col(f"{label}_b"), "internal").otherwise("cut")
+    out = both.select("a", "b", state("in_a", "la").alias("state_a"), state("in_b", "lb").alias("state_b"))
     return out.where((F.col("state_a") == "cut") | (F.col("state_b") == "cut"))
 
 
